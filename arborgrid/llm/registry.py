@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborgrid.llm import chunk, encode, pack
+from arborgrid.llm import chunk, encode, nearest, pack
 from arborgrid.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,21 @@ def p8_pieces(spark, folder):
 def p8_found(spark, folder):
     """Documents that were cut: those over 512 tokens."""
     return chunk.split_oversized(read(spark, folder, "documents")).where(F.col("piece") == 0).select("doc_id").distinct()
+
+
+def _nearest(spark, folder):
+    vectors = nearest.matrix_rows(read(spark, folder, "ift_matrix"), read(spark, folder, "ift_graph"))
+    return nearest.nearest(vectors, "node_id", "vec")
+
+
+@query("p4_neighbours")
+def p4_neighbours(spark, folder):
+    """The 10 nearest other nodes of every usable node, over all graphs."""
+    return _nearest(spark, folder)
+
+
+@query("p4_found")
+def p4_found(spark, folder):
+    """Pairs of nodes of which one is among the other's 10 nearest."""
+    pairs = _nearest(spark, folder).select(F.least("id", "neighbour").alias("node_a"), F.greatest("id", "neighbour").alias("node_b"))
+    return pairs.distinct()
