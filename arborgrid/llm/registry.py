@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborgrid.llm import chunk, encode, nearest, pack
+from arborgrid.llm import chunk, encode, nearest, pack, related
 from arborgrid.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,30 @@ def p4_found(spark, folder):
     """Pairs of nodes of which one is among the other's 10 nearest."""
     pairs = _nearest(spark, folder).select(F.least("id", "neighbour").alias("node_a"), F.greatest("id", "neighbour").alias("node_b"))
     return pairs.distinct()
+
+
+def _split(spark, folder):
+    records = read(spark, folder, "split")
+    targets = {r["split_name"]: float(r["target_pct"]) for r in read(spark, folder, "split_targets").collect()}  # fixed, 3 rows
+    keys = {n: f(F.col(n)) for n, f in related.KEYS.items()}
+    return related.related_split(records, "ids", "true_labels", "loaded_at", keys, targets)
+
+
+@query("p3_splits")
+def p3_splits(spark, folder):
+    """Split, group of related records and label of every record."""
+    placed = _split(spark, folder)[0]
+    return placed.select(F.col("id").alias("ids"), F.col("label").alias("true_labels"), F.col("root").alias("group_id"), F.col("size").alias("group_size"), F.col("split").alias("split_name"))
+
+
+@query("p3_forest")
+def p3_forest(spark, folder):
+    """Edges of the spanning forest."""
+    return _split(spark, folder)[1].select(F.col("a").alias("ids_a"), F.col("b").alias("ids_b"))
+
+
+@query("p3_found")
+def p3_found(spark, folder):
+    """The smallest record of each group of related records with each other one."""
+    placed = _split(spark, folder)[0]
+    return placed.where(F.col("id") != F.col("root")).select(F.col("root").alias("ids_a"), F.col("id").alias("ids_b"))
