@@ -198,14 +198,19 @@ def _search_classes(spark, reps: DataFrame, n: int, dim: int, k: int, trees: int
     return merged.select("rep", F.slice(F.array_sort(F.array_distinct("near")), 1, k).alias("near"))
 
 
+def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """(id, vector as floats) of the rows whose vector is there, not empty and finite."""
+    fine = F.col(vec_col).isNotNull() & F.col(id_col).isNotNull() & (F.size(vec_col) > 0) & F.forall(vec_col, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    return df.where(fine).select(id_col, F.col(vec_col).cast("array<float>").alias(vec_col))
+
+
 def nearest(
     df: DataFrame, id_col: str, vec_col: str, k: int = K, trees: int = TREES, leaf: int = LEAF, probes: int = PROBES, sample_rows: int = SAMPLE_ROWS, block: int = BLOCK
 ) -> DataFrame:
     """(id, rank, neighbour, distance) with rank from 1 to k for each usable row of ``df``."""
     spark = df.sparkSession
     scratch = Scratch(spark, "nearest")
-    usable = F.col(vec_col).isNotNull() & F.col(id_col).isNotNull() & (F.size(vec_col) > 0) & F.forall(vec_col, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    nodes = df.where(usable).select(F.col(id_col).cast("long").alias("node"), F.transform(vec_col, lambda v: v.cast("float") + F.lit(0).cast("float")).alias("vec"))
+    nodes = usable(df, id_col, vec_col).select(F.col(id_col).cast("long").alias("node"), F.transform(vec_col, lambda v: v + F.lit(0).cast("float")).alias("vec"))
     nodes = scratch.put(nodes.groupBy("node").agg(F.min("vec").alias("vec")))
     reps = scratch.put(nodes.groupBy("vec").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("copies")).withColumn("dim", F.size("vec")))
     sizes = {r["dim"]: r["n"] for r in reps.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}

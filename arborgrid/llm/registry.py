@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborgrid.llm import chunk, encode, nearest, pack, related
+from arborgrid.llm import chunk, encode, nearest, pack, quota, related, subset
 from arborgrid.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,49 @@ def p3_found(spark, folder):
     """The smallest record of each group of related records with each other one."""
     placed = _split(spark, folder)[0]
     return placed.where(F.col("id") != F.col("root")).select(F.col("root").alias("ids_a"), F.col("id").alias("ids_b"))
+
+
+def _quotas(spark, folder):
+    samples = quota.split_samples(read(spark, folder, "split")).unionByName(quota.file_samples(read(spark, folder, "ift_filenames")))
+    return samples, quota.quotas(samples, read(spark, folder, "sample_targets"), ["tbl", "pool"], "class")
+
+
+@query("p5_sample")
+def p5_sample(spark, folder):
+    """The samples drawn from each pool."""
+    samples, q = _quotas(spark, folder)
+    return quota.draw(samples, q, ["tbl", "pool"], "class", "sample")
+
+
+@query("p5_report")
+def p5_report(spark, folder):
+    """Quota, availability and shortfall of every target."""
+    return _quotas(spark, folder)[1]
+
+
+@query(
+    "p5_found",
+    r"""
+    WITH s AS (
+        SELECT 'split' AS tbl, pool, true_labels AS class, ids AS sample FROM split WHERE true_labels > 0
+        UNION
+        SELECT 'ift_filenames', pool, CAST(m[1] AS INT), CAST(m[2] AS BIGINT)
+        FROM (SELECT pool, regexp_extract_all(filename, '([0-9]+)_([0-9]+)(_[A-Za-z]+)?\.[A-Za-z.]+\s*$', 0) AS w, string_split(regexp_extract(filename, '[0-9]+_[0-9]+(_[A-Za-z]+)?\.[A-Za-z.]+\s*$'), '_') AS p,
+                     [regexp_extract(filename, '([0-9]+)_([0-9]+)(_[A-Za-z]+)?\.[A-Za-z.]+\s*$', 1), regexp_extract(filename, '([0-9]+)_([0-9]+)(_[A-Za-z]+)?\.[A-Za-z.]+\s*$', 2)] AS m
+              FROM ift_filenames WHERE pool IS NOT NULL) WHERE m[1] <> ''),
+    n AS (SELECT tbl, pool, class, count(DISTINCT sample) AS n FROM s GROUP BY ALL)
+    SELECT t.tbl, t.pool, t.class FROM sample_targets t LEFT JOIN n ON n.tbl = t.tbl AND n.pool = t.pool AND n.class = t.class
+    WHERE coalesce(n.n, 0) * 100 < t.target_pct * t.sample_size OR coalesce(n.n, 0) < t.min_n
+    """,
+)
+def p5_found(spark, folder):
+    """Targets for which the pool does not suffice."""
+    return _quotas(spark, folder)[1].where("short").select("tbl", "pool", "class")
+
+
+@query("p2_subset")
+def p2_subset(spark, folder):
+    """The varied subset of each selector row."""
+    graph = read(spark, folder, "ift_graph")
+    vectors = nearest.usable(nearest.matrix_rows(read(spark, folder, "ift_matrix"), graph), "node_id", "vec")
+    return subset.varied_subset(read(spark, folder, "ift_unlabeled_selector"), read(spark, folder, "subset_requests"), graph, vectors)
