@@ -20,9 +20,10 @@ def random_key(key: str, seed: int = 1) -> Column:
 
 def kfold(df: DataFrame, key: str, k: int, by: Sequence[str] = (), seed: int | None = 1) -> DataFrame:
     """Fold 0..k-1 of each row, balanced within each stratum; by key order if ``seed`` is None."""
-    if seed is None:
-        part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-        return df.withColumn("fold", ((F.row_number().over(part.orderBy(key)) - 1) % k).cast("int"))
+    if seed is None:  # whole numbers from 0; shifted to fill the range of the ranking's buckets
+        top = df.agg(F.max(key)).first()[0] or 1
+        by_key = F.shiftleft(F.col(key).cast("long"), 62 - int(top).bit_length())
+        return grouped_rank(df, list(by), by_key, [key], "_r").withColumn("fold", ((F.col("_r") - 1) % k).cast("int")).drop("_r")
     return grouped_rank(df, list(by), random_key(key, seed), [key], "_r").withColumn("fold", ((F.col("_r") - 1) % k).cast("int")).drop("_r")
 
 
