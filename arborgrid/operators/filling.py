@@ -13,7 +13,8 @@ Rounds end when no estimate moves by more than the tolerance, or after a fixed n
 
 ``propagate`` is the general operator on cells and hubs. ``fill_calls`` uses its quotient form:
 cells that share all hubs have equal estimates, so they are merged into one profile with counts,
-and a marker's profiles (bounded by the numbers of categories, not by rows) converge in one task.
+and a marker's profiles (bounded by the numbers of categories, not by rows) converge in one task,
+some thousand profiles of whole markers at a time.
 
 Defined cases: a cell without any hub that knows a value gets the caller's fallback; null groups
 give no hub; equal shares go to the first category; an empty table gives no fills.
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from arborgrid.plans import Scratch, bounded_broadcast
 
 HALF = 2.0
-ROUNDS, TOLERANCE = 6, 1e-3
+ROUNDS, TOLERANCE = 4, 1e-3
 #: Lines whose subpopulation is broadcast to the calls; beyond that the join shuffles.
 BROADCAST_LINES = 1_000_000
 ALLELES = 4
@@ -70,7 +71,7 @@ def propagate(observed: DataFrame, missing: DataFrame, width: int, scratch: Scra
 
 
 def quotient_propagation(levels: Sequence[tuple[Sequence[str], float]], width: int, rounds: int = 50, tolerance: float = 1e-4):
-    """Grouped-map function: estimates of one component's profiles.
+    """Grouped-map function: estimates of the profiles of one or more components.
 
     Rows have the level columns, observed counts c0 .. c{width-1} and ``m`` missing cells; the
     result adds p0 .. p{width-1}, null where no level knows a value.
@@ -140,14 +141,14 @@ def line_subpops(indiv: DataFrame, names: Sequence[str]) -> DataFrame:
 class Calls:
     """Genotype calls prepared for filling; see :func:`fill_calls`."""
 
-    def __init__(self, snps: DataFrame, line_sp: DataFrame):
+    def __init__(self, snps: DataFrame, line_sp: DataFrame, scratch: Scratch):
         c = [f"c{i}" for i in range(ALLELES)]
         when = F.coalesce("loaded_at", F.lit("1970-01-01").cast("timestamp"))
         rows = snps.where("call_id IS NOT NULL").select(
             "call_id", _hash_key("id", "call_id").alias("mk"), _hash_key("lineid", "call_id").alias("ln"), "chromosome", "pos", F.coalesce(allele_code(F.col("allele")), F.lit(-1)).alias("code"), when.alias("at")
         )
         # a repeat has the marker and line of its first row, so all group keys are of fixed width
-        self.calls = rows.groupBy("call_id", "mk", "ln", "chromosome", "pos").agg(F.max_by("code", "at").alias("code"))
+        self.calls = scratch.put(rows.groupBy("call_id", "mk", "ln", "chromosome", "pos").agg(F.max_by("code", "at").cast("byte").alias("code")))
         # counted before the shuffle: the check line shrinks to one row a marker and task
         cells = self.calls.groupBy("ln", "chromosome", "mk").agg(
             F.min("pos").alias("pos"), *[F.count_if(F.col("code") == i).alias(f"c{i}") for i in range(ALLELES)], F.count_if(F.col("code") < 0).alias("m")
@@ -156,11 +157,13 @@ class Calls:
         w = Window.partitionBy("ln", "chromosome").orderBy("pos", "mk")  # a row a marker at most
         cells = cells.withColumn("mode", mode)
         cells = cells.withColumn("la", F.coalesce(F.lag("mode").over(w), F.lit(-1).cast("byte"))).withColumn("ra", F.coalesce(F.lead("mode").over(w), F.lit(-1).cast("byte")))
-        self.cells = cells.join(bounded_broadcast(line_sp, BROADCAST_LINES), "ln", "left").withColumn("sp", F.coalesce("sp", F.lit(-1)))
+        self.cells = scratch.put(cells.drop("pos").join(bounded_broadcast(line_sp, BROADCAST_LINES), "ln", "left").withColumn("sp", F.coalesce("sp", F.lit(-1))))
 
 
-#: Columns that cells of one marker share, and the weight of such a hub.
-CALL_LEVELS = ((("sp", "la", "ra"), 4.0), (("la", "ra"), 2.0), (("sp",), 1.0), ((), 0.05))
+#: Columns that cells share, and the weight of such a hub.
+CALL_LEVELS = ((("mk", "sp", "la", "ra"), 4.0), (("mk", "la", "ra"), 2.0), (("mk", "sp"), 1.0), (("mk",), 0.05))
+#: About so many profiles go to one task.
+PROFILE_ROWS = 4_000
 OWN_WEIGHT = 50.0
 
 
@@ -179,7 +182,11 @@ def fill_calls(calls: Calls, profiles: DataFrame) -> DataFrame:
     """
     c, p = [f"c{i}" for i in range(ALLELES)], [f"p{i}" for i in range(ALLELES)]
     schema = ", ".join(["mk long", "sp int", "la byte", "ra byte", *[f"{x} long" for x in c], "m long", *[f"{x} double" for x in p]])
-    solved = profiles.groupBy("mk").applyInPandas(quotient_propagation(CALL_LEVELS, ALLELES), schema).select("mk", "sp", "la", "ra", *p)
+    # whole markers go to a task, several at once: each level holds its marker
+    tasks = max(8, -(-profiles.count() // PROFILE_ROWS))
+    dealt = profiles.withColumn("_task", F.pmod(F.xxhash64("mk"), F.lit(tasks)).cast("int"))
+    solve = quotient_propagation(CALL_LEVELS, ALLELES)
+    solved = dealt.groupBy("_task").applyInPandas(lambda pdf: solve(pdf.drop(columns="_task")), schema).select("mk", "sp", "la", "ra", *p)
     lost = calls.calls.where("code < 0").select("call_id", "mk", "ln", F.coalesce("chromosome", F.lit(-1)).alias("ch"))
     own = calls.cells.where("m > 0").select("mk", "ln", F.coalesce("chromosome", F.lit(-1)).alias("ch"), "sp", "la", "ra", *c)
     met = lost.join(own, ["mk", "ln", "ch"]).join(solved, ["mk", "sp", "la", "ra"], "left")
@@ -275,7 +282,7 @@ def fill_project(snps: DataFrame, indiv: DataFrame, pheno: DataFrame, subpops: D
 
     people = scratch.put(latest_individuals(indiv))
     line_sp = scratch.put(line_subpops(people, names))
-    calls = Calls(snps, line_sp)
+    calls = Calls(snps, line_sp, scratch)
     profiles = scratch.put(call_profiles(calls))
     alleles = fill_calls(calls, profiles)
     out = alleles.select(F.lit("ift_snps").alias("tbl"), F.col("call_id").alias("row_id"), F.lit("allele").alias("field"), F.lit(0).alias("item"), F.col("allele").alias("value_text"), F.lit(None).cast("double").alias("value_number"), "share")
