@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from arborgrid.operators import forests, graphs, grid
+from arborgrid.operators import forests, graphs
 from arborgrid.plans import Scratch
 from arborgrid.queries.images import PX, pixels
 from arborgrid.registry import query
@@ -37,16 +37,6 @@ def water_cut(spark, folder):
     return forests.watershed(seeded(spark, folder), "v", "seed", by_difference=True)
 
 
-@query("watershed_by_joins")
-def watershed_by_joins(spark, folder):
-    """The same costs by relaxation on the cluster, with labels that have one defined winner."""
-    scratch = Scratch(spark, "watershed")
-    p = seeded(spark, folder)
-    e = grid.grid_edges(p, "v", grid.circular(1.5)).select(graphs.pixel_id("image_id", "px", "py").alias("a"), graphs.pixel_id("image_id", "qx", "qy").alias("b"), F.greatest("vp", "vq").alias("w"))
-    seeds = p.where("seed > 0").select(graphs.pixel_id("image_id", "x", "y").alias("id"), F.col("seed").alias("label"), F.lit(0.0).alias("cost"))
-    return graphs.path_forest(scratch.put(e), seeds, scratch).select("id", "cost", "label")
-
-
 @query("oriented_watershed")
 def oriented_watershed(spark, folder):
     return forests.oriented_watershed(seeded(spark, folder), "v", "seed")
