@@ -154,7 +154,8 @@ def read_architecture(spark: SparkSession, path: str) -> DataFrame:
     flat = v.select(F.to_json("v").alias("j"), n.alias("n"), F.try_variant_get("v", "$.stdev_factor", "double").alias("stdev_factor"))
     flat = flat.select("stdev_factor", "j", F.explode(F.sequence(F.lit(1), "n")).alias("layer"))
     conv = "struct<kernel_size:array<int>,dilation_rate:array<int>,nkernels_per_marker:int,noutput_channels:int>"
-    layers = flat.select("stdev_factor", "layer", F.try_element_at(F.from_json("j", f"map<string,struct<conv:{conv},pooling:struct<size:array<int>,stride:int,type:string>>>"), F.concat(F.lit("layer"), "layer")).alias("l"))
+    one = F.expr("get_json_object(j, concat('$.layer', layer))")
+    layers = flat.select("stdev_factor", "layer", F.from_json(one, f"struct<conv:{conv},pooling:struct<size:array<int>,stride:int,type:string>>").alias("l"))
     before = F.lag("noutput_channels", 1, 3).over(Window.partitionBy(F.lit(0)).orderBy("layer"))  # a row a layer
 
     def plane(c: str):
