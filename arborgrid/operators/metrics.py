@@ -65,7 +65,7 @@ def summary(df: DataFrame, truth: str, pred: str, digits: int = 6) -> DataFrame:
     return a.select(F.round("po", digits).alias("true_positives"), F.round(kappa, digits).alias("kappa"), *[F.round(c, digits).alias(c) for c in ("macro_f", "mean_recall", "skewed", "path_accuracy", "worst_accuracy")])
 
 
-METRICS = {"fscore": "macro_f", "true_positives": "true_positives", "kappa": "kappa", "skewed_true_positives": "skewed", "normalized_accuracy": "mean_recall", "weighted_accuracy": "worst_accuracy", "opf_accuracy": "path_accuracy"}
+METRICS = {"fscore": "macro_f", "true_positives": "true_positives", "kappa": "kappa", "skewed_true_positives": "skewed", "normalized_accuracy": "mean_recall", "weighted_accuracy": "worst_accuracy", "path_accuracy": "path_accuracy"}
 
 
 def metric(name: str, df: DataFrame, truth: str, pred: str) -> DataFrame:

@@ -39,18 +39,18 @@ def marker_statistics(spark, folder):
     return s.select("band", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
 
-@query("flim_forward")
-def flim_forward(spark, folder):
+@query("marker_net_forward")
+def marker_net_forward(spark, folder):
     return markers.forward(_bands(spark, folder), _layers(spark, folder))
 
 
-@query("flim_vanilla_decoder")
-def flim_vanilla_decoder(spark, folder):
+@query("marker_net_adaptive_decoder")
+def marker_net_adaptive_decoder(spark, folder):
     return markers.vanilla_decoder(markers.forward(_bands(spark, folder), _layers(spark, folder)))
 
 
-@query("flim_marker_decoder")
-def flim_marker_decoder(spark, folder):
+@query("marker_net_marker_decoder")
+def marker_net_marker_decoder(spark, folder):
     layers = _layers(spark, folder)
     s = layers[0].pool_stride
     m = _markers(spark, folder).withColumn("x", F.floor(F.col("x") / s).cast("int")).withColumn("y", F.floor(F.col("y") / s).cast("int"))

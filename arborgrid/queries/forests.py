@@ -85,13 +85,13 @@ def superpixels_slic(spark, folder):
     return forests.superpixels_slic(pixels(spark, folder), "v", 8)
 
 
-@query("superpixels_disf")
-def superpixels_disf(spark, folder):
+@query("superpixels_seed_removal")
+def superpixels_seed_removal(spark, folder):
     return forests.superpixels_forest(pixels(spark, folder), "v", 200, 20)
 
 
-@query("superpixels_sicle")
-def superpixels_sicle(spark, folder):
+@query("superpixels_saliency")
+def superpixels_saliency(spark, folder):
     p = pixels(spark, folder).withColumn("s", F.col("v") / 255.0)
     return forests.superpixels_forest(p, "v", 200, 20, dynamic=False, saliency="s")
 

@@ -164,19 +164,19 @@ def path_forest_sum(spark, folder):
     return graphs.path_forest(_knn_edges(spark, folder, scratch), seeds, scratch, graphs.fsum).withColumn("cost", F.round("cost", 6))
 
 
-@query("opf_supervised")
-def opf_supervised(spark, folder):
+@query("path_forest_supervised")
+def path_forest_supervised(spark, folder):
     """Trained on two thirds, predicting every third vector."""
-    scratch = Scratch(spark, "opf")
+    scratch = Scratch(spark, "train")
     e = vectors(spark, folder)
     train, test = e.where("vec_id % 3 <> 0"), e.where("vec_id % 3 = 0")
     trained = scratch.put(learning.train_path_forest(train, "vec_id", "embedding", "label", 8, scratch))
     return learning.classify_path_forest(trained, train, test, "vec_id", "embedding").withColumn("cost", F.round("cost", 6))
 
 
-@query("opf_unsupervised")
-def opf_unsupervised(spark, folder):
-    scratch = Scratch(spark, "opf")
+@query("path_forest_unsupervised")
+def path_forest_unsupervised(spark, folder):
+    scratch = Scratch(spark, "train")
     return learning.cluster_by_density(vectors(spark, folder), "vec_id", "embedding", 10, scratch).withColumn("density", F.round("density", 6))
 
 
