@@ -1,3 +1,3 @@
 """Registered queries, by area; importing the package registers all of them."""
 
-from arborgrid.queries import collections, features, filling, forests, images, learning, statistics  # noqa: F401
+from arborgrid.queries import collections, descriptors, features, filling, forests, images, learning, statistics  # noqa: F401
