@@ -97,7 +97,25 @@ def p3_forest(spark, folder):
     return _split(spark, folder)[1].select(F.col("a").alias("ids_a"), F.col("b").alias("ids_b"))
 
 
-@query("p3_found")
+@query(
+    "p3_found",
+    r"""
+    WITH RECURSIVE k AS (
+        SELECT ids, 'a:' || array_to_string(list_sort(w), ' ') AS key
+        FROM (SELECT ids, list_filter(string_split_regex(lower(strip_accents(author)), '[^a-z]+'), lambda x: x <> '') AS w FROM split) WHERE len(w) = 3
+        UNION
+        SELECT ids, 's:' || CAST(CAST(rig AS BIGINT) AS VARCHAR) || '/' || CAST(CAST(series AS BIGINT) AS VARCHAR)
+        FROM (SELECT ids, regexp_extract(lower(source), 'rig[^0-9]*([0-9]+)', 1) AS rig, regexp_extract(lower(source), 'series[^0-9]*([0-9]+)', 1) AS series FROM split) WHERE rig <> '' AND series <> ''
+        UNION
+        SELECT ids, 'e:' || CAST(CAST(n[1] AS BIGINT) AS VARCHAR) FROM (SELECT ids, regexp_extract_all(entity, '[0-9]+') AS n FROM split) WHERE len(n) = 1),
+    h AS (SELECT key, min(ids) AS m FROM k GROUP BY 1),
+    e AS (SELECT DISTINCT m AS a, ids AS b FROM k JOIN h USING (key) WHERE m <> ids),
+    g AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+    r(id, root) AS (SELECT DISTINCT a, a FROM g UNION SELECT g.b, r.root FROM r JOIN g ON g.a = r.id WHERE r.root < g.b),
+    c AS (SELECT id, min(root) AS root FROM r GROUP BY 1)
+    SELECT root AS ids_a, id AS ids_b FROM c WHERE id <> root
+    """,
+)
 def p3_found(spark, folder):
     """The smallest record of each group of related records with each other one."""
     placed = _split(spark, folder)[0]
