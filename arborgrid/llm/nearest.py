@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from arborgrid.plans import Scratch
 
-K, TREES, LEAF, PROBES, SAMPLE_ROWS, BLOCK, SEED = 10, 8, 512, 24, 65_536, 4096, 11
+K, TREES, LEAF, PROBES, SAMPLE_ROWS, BLOCK, SEED = 10, 8, 512, 36, 65_536, 4096, 11
 
 
 class Forest:
