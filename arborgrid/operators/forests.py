@@ -316,77 +316,179 @@ def superpixels_forest(pixels: DataFrame, value: str, first: int, last: int, rou
     return per_image(pixels, run, "superpixel long")
 
 
+def min_cut(near: np.ndarray, weight: Callable[[int, int], int], source: np.ndarray, sink: np.ndarray) -> np.ndarray:
+    """True for the pixels on the source's side of a minimum cut; whole capacities. Augmenting paths in
+    breadth-first layers."""
+    n = len(near)
+    S, T = n, n + 1  # noqa: N806
+    head: list[list[int]] = [[] for _ in range(n + 2)]
+    to: list[int] = []
+    cap: list[int] = []
+
+    def arc(a: int, b: int, c: int, back: int) -> None:
+        head[a].append(len(to))
+        to.append(b)
+        cap.append(c)
+        head[b].append(len(to))
+        to.append(a)
+        cap.append(back)
+
+    for p in range(n):
+        for q in near[p].tolist():
+            if q > p:
+                w = weight(p, q)
+                arc(p, q, w, w)
+        both = min(int(source[p]), int(sink[p]))  # flows straight through
+        if source[p] > both:
+            arc(S, p, int(source[p]) - both, 0)
+        if sink[p] > both:
+            arc(p, T, int(sink[p]) - both, 0)
+    while True:
+        level = [-1] * (n + 2)
+        level[S] = 0
+        queue = [S]
+        for u in queue:
+            for e in head[u]:
+                if cap[e] > 0 and level[to[e]] < 0:
+                    level[to[e]] = level[u] + 1
+                    queue.append(to[e])
+        if level[T] < 0:
+            return np.array([v >= 0 for v in level[:n]], dtype=bool)
+        it = [0] * (n + 2)
+        path: list[int] = []
+        u = S
+        while True:
+            if u == T:
+                f = min(cap[e] for e in path)
+                for e in path:
+                    cap[e] -= f
+                    cap[e ^ 1] += f
+                path, u = [], S
+                continue
+            while it[u] < len(head[u]):
+                e = head[u][it[u]]
+                if cap[e] > 0 and level[to[e]] == level[u] + 1:
+                    break
+                it[u] += 1
+            if it[u] < len(head[u]):
+                path.append(head[u][it[u]])
+                u = to[path[-1]]
+            elif path:
+                u = to[path.pop() ^ 1]
+                it[u] += 1
+            else:
+                break
+
+
+HARD = 10**9
+
+
 def graph_cut(pixels: DataFrame, value: str, seed: str, sigma: float = 20.0, object_label: int = 1) -> DataFrame:
-    """Minimum cut between object and other seeds; arcs weigh exp(-(dv)^2 / 2 sigma^2), in whole
-    thousandths. Augmenting paths by breadth-first search from all object seeds (Dinic)."""
+    """Minimum cut between object and other seeds; arcs weigh exp(-(dv)^2 / 2 sigma^2), in thousandths."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         img = Image(pdf, circular(1.0))
         v = img.values(value)
         label = img.pdf[seed].fillna(0).to_numpy(np.int64)
-        n = img.n
-        S, T = n, n + 1  # noqa: N806
-        head: list[list[int]] = [[] for _ in range(n + 2)]
-        to: list[int] = []
-        cap: list[int] = []
-
-        def arc(a: int, b: int, c: int, back: int) -> None:
-            head[a].append(len(to))
-            to.append(b)
-            cap.append(c)
-            head[b].append(len(to))
-            to.append(a)
-            cap.append(back)
-
-        for p in range(n):
-            for q in img.near[p].tolist():
-                if q > p:
-                    w = 1 + int(1000 * np.exp(-((v[p] - v[q]) ** 2) / (2 * sigma * sigma)))
-                    arc(p, q, w, w)
-            if label[p] == object_label:
-                arc(S, p, 10**9, 0)
-            elif label[p] > 0:
-                arc(p, T, 10**9, 0)
-        while True:
-            level = [-1] * (n + 2)
-            level[S] = 0
-            queue = [S]
-            for u in queue:
-                for e in head[u]:
-                    if cap[e] > 0 and level[to[e]] < 0:
-                        level[to[e]] = level[u] + 1
-                        queue.append(to[e])
-            if level[T] < 0:
+        side = min_cut(img.near, lambda p, q: 1 + int(1000 * np.exp(-((v[p] - v[q]) ** 2) / (2 * sigma * sigma))), np.where(label == object_label, HARD, 0), np.where((label > 0) & (label != object_label), HARD, 0))
+        return img.out(label=side.astype(np.int64))
+
+    return per_image(pixels, run, "label long")
+
+
+def mixture_cut(pixels: DataFrame, value: str, seed: str, sigma: float = 20.0, parts: int = 3, rounds: int = 3, object_label: int = 1) -> DataFrame:
+    """Object and background as mixtures of ``parts`` normal values, fitted to the present sides, and a
+    minimum cut with their likelihoods as terminal arcs, in turns. Pixels without seed start as object
+    if they are nearer to an object seed's value than to any other seed's."""
+
+    def likelihood(x: np.ndarray, sample: np.ndarray) -> np.ndarray:
+        c = np.quantile(sample, (np.arange(parts) + 0.5) / parts)
+        for _ in range(10):
+            lab = np.abs(sample[:, None] - c[None]).argmin(1)
+            c = np.array([sample[lab == i].mean() if (lab == i).any() else c[i] for i in range(parts)])
+        lab = np.abs(sample[:, None] - c[None]).argmin(1)
+        share = np.bincount(lab, minlength=parts) / len(sample)
+        dev = np.array([sample[lab == i].std() if (lab == i).any() else 1.0 for i in range(parts)]) + 2.0
+        return -np.log((share / dev * np.exp(-((x[:, None] - c) ** 2) / (2 * dev * dev))).sum(1) + 1e-12)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        img = Image(pdf, circular(1.0))
+        v = img.values(value)
+        label = img.pdf[seed].fillna(0).to_numpy(np.int64)
+        ob, bg = label == object_label, (label > 0) & (label != object_label)
+        if not ob.any() or not bg.any():
+            return img.out(label=ob.astype(np.int64))
+        side = np.abs(v[:, None] - v[ob]).min(1) < np.abs(v[:, None] - v[bg]).min(1)
+        for _ in range(rounds):
+            side = (side | ob) & ~bg
+            lo, lb = likelihood(v, v[side]), likelihood(v, v[~side])
+            base = np.minimum(lo, lb)
+            source = np.where(ob, HARD, np.where(bg, 0, (1000 * (lb - base)).astype(np.int64)))
+            sink = np.where(bg, HARD, np.where(ob, 0, (1000 * (lo - base)).astype(np.int64)))
+            new = min_cut(img.near, lambda p, q: 1 + int(5000 * np.exp(-((v[p] - v[q]) ** 2) / (2 * sigma * sigma))), source, sink)
+            if (new == side).all():
                 break
-            it = [0] * (n + 2)
-            while True:
-                path: list[int] = []
-                u = S
-                while u != T:
-                    while it[u] < len(head[u]):
-                        e = head[u][it[u]]
-                        if cap[e] > 0 and level[to[e]] == level[u] + 1:
-                            break
-                        it[u] += 1
-                    if it[u] < len(head[u]):
-                        path.append(head[u][it[u]])
-                        u = to[path[-1]]
-                    elif path:
-                        u = to[path.pop() ^ 1]
-                        it[u] += 1
-                    else:
-                        break
-                if u != T:
-                    break
-                f = min(cap[e] for e in path)
-                for e in path:
-                    cap[e] -= f
-                    cap[e ^ 1] += f
-        return img.out(label=np.array([1 if level[p] >= 0 else 0 for p in range(n)], dtype=np.int64))
+            side = new
+        return img.out(label=side.astype(np.int64))
 
     return per_image(pixels, run, "label long")
 
 
+def close_basins(pixels: DataFrame, value: str, depth: float | None = None) -> DataFrame:
+    """Basins filled up to their lowest outlet to the image's border, or by ``depth`` at most."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        img = Image(pdf)
+        v = img.values(value)
+        marker = v + depth if depth is not None else np.where((img.near < 0).any(1), v, v.max())
+        cost, *_ = grow(img.near, np.maximum(marker, v), np.zeros(img.n, dtype=np.int64), lambda p, q, c: max(c, v[q]))
+        return img.out(closed=cost)
+
+    return per_image(pixels, run, "closed double")
+
+
+def gray_watershed(pixels: DataFrame, value: str, depth: float) -> DataFrame:
+    """Watershed whose seeds are the basins deeper than ``depth``: each pixel is offered its own value
+    plus the depth; the pixels that keep it are roots, and each root's tree is a region (named 1..)."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        img = Image(pdf)
+        v = img.values(value)
+        _, _, root, _ = grow(img.near, v + depth, np.zeros(img.n, dtype=np.int64), lambda p, q, c: max(c, v[q]))
+        return img.out(region=np.unique(root, return_inverse=True)[1] + 1)
+
+    return per_image(pixels, run, "region long")
+
+
+def superpixels_recentred(pixels: DataFrame, value: str, step: int, alpha: float = 0.5, beta: float = 12.0, rounds: int = 5) -> DataFrame:
+    """Iterated spanning forest: cost(q) = cost(p) + (alpha |v(q) - v(root)|)^beta + |pq|; after each round
+    a tree's seed moves to the member nearest to its mean place and value."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        img = Image(pdf)
+        v = img.values(value)
+        seeds = np.flatnonzero((img.x % step == step // 2) & (img.y % step == step // 2))
+        seeds = seeds if len(seeds) else np.array([0])
+        root = np.zeros(img.n, dtype=np.int64)
+        for _ in range(rounds):
+            owner: dict[int, int] = {}
+            start = np.full(img.n, np.inf)
+            start[seeds] = 0.0
+            offer = lambda p, q, c, owner=owner: c + (alpha * abs(v[q] - v[owner[p]])) ** beta + float(np.hypot(img.x[p] - img.x[q], img.y[p] - img.y[q]))
+            _, _, root, _ = grow(img.near, start, np.zeros(img.n, dtype=np.int64), offer, on_settle=lambda p, r, _, owner=owner: owner.__setitem__(p, r))
+            new = []
+            for r in np.unique(root).tolist():
+                m = np.flatnonzero(root == r)
+                d = (img.x[m] - img.x[m].mean()) ** 2 + (img.y[m] - img.y[m].mean()) ** 2 + (v[m] - v[m].mean()) ** 2 * 0.01
+                new.append(int(m[d.argmin()]))
+            if sorted(new) == sorted(seeds.tolist()):
+                break
+            seeds = np.array(sorted(new))
+        return img.out(superpixel=np.unique(root, return_inverse=True)[1] + 1)
+
+    return per_image(pixels, run, "superpixel long")
+
+
 def geodesic_distance(pixels: DataFrame, seed: str, mask: str | None = None) -> DataFrame:
     """Length of the shortest path of 8-neighbours from a seed within the mask (null outside it)."""
 

@@ -189,6 +189,38 @@ def classify_path_forest(trained: DataFrame, train: DataFrame, test: DataFrame,
     return best.join(trained.select(F.col("id").alias("neighbour"), "label"), "neighbour").select("id", "label", F.col("dist").alias("cost"))
 
 
+def semi_supervised(df: DataFrame, id_col: str, vec_col: str, label_col: str, k: int, scratch: Scratch) -> DataFrame:
+    """Labels for all samples from the few that have one (label not null): least largest arc on the
+    spanning forest of the k-nearest graph, labelled samples at cost 0. (id, label, cost); samples that
+    no label reaches are left out."""
+    edges = scratch.put(knn_edges(df, id_col, vec_col, k))
+    mst = scratch.put(graphs.minimum_spanning_forest(edges, scratch))
+    seeds = df.where(F.col(label_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.lit(0.0).alias("cost"))
+    return graphs.path_forest(mst, seeds, scratch, graphs.fmax).select("id", "label", "cost")
+
+
+def without_outliers(df: DataFrame, id_col: str, vec_col: str, label_col: str, k: int) -> DataFrame:
+    """Samples most of whose k nearest others share their label."""
+    n = neighbours.nearest(df, df, id_col, vec_col, k, exclude_self=True)
+    labels = df.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"))
+    vote = n.join(labels.withColumnRenamed("id", "neighbour").withColumnRenamed("label", "other"), "neighbour").join(labels, "id")
+    kept = vote.groupBy("id").agg(F.avg((F.col("label") == F.col("other")).cast("double")).alias("s")).where("s > 0.5").select(F.col("id").alias(id_col))
+    return df.join(kept, id_col, "left_semi")
+
+
+class Classifier:
+    """Strategy of two callables: ``train(df) -> model`` and ``predict(model, df) -> df`` with ``pred``."""
+
+    def __init__(self, train, predict_):
+        self.train, self.predict = train, predict_
+
+
+CLASSIFIERS = {
+    "logistic": lambda vec, label: Classifier(lambda df: linear_classifier(df, vec, label), lambda m, df: predict(m, df, vec)),
+    "svm": lambda vec, label: Classifier(lambda df: linear_classifier(df, vec, label, "svm"), lambda m, df: predict(m, df, vec)),
+}
+
+
 def density(edges: DataFrame) -> DataFrame:
     """(id, density): mean of exp(-w^2 / 2 s^2) over the arcs of a node, s a third of the longest arc."""
     s = edges.agg((F.max("w") / 3).alias("s"))

@@ -101,6 +101,31 @@ def graph_cut(spark, folder):
     return forests.graph_cut(seeded(spark, folder), "v", "seed")
 
 
+@query("mixture_cut")
+def mixture_cut(spark, folder):
+    return forests.mixture_cut(seeded(spark, folder), "v", "seed")
+
+
+@query("close_basins")
+def close_basins(spark, folder):
+    return forests.close_basins(pixels(spark, folder), "v")
+
+
+@query("close_basins_by_depth", f"WITH RECURSIVE {PX}, {ARCS}, {REC} SELECT image_id, x, y, CAST(rec AS DOUBLE) AS closed FROM r")
+def close_basins_by_depth(spark, folder):
+    return forests.close_basins(pixels(spark, folder), "v", 30)
+
+
+@query("gray_watershed")
+def gray_watershed(spark, folder):
+    return forests.gray_watershed(pixels(spark, folder), "v", 30)
+
+
+@query("superpixels_recentred")
+def superpixels_recentred(spark, folder):
+    return forests.superpixels_recentred(pixels(spark, folder), "v", 8)
+
+
 @query("geodesic_distance")
 def geodesic_distance(spark, folder):
     return forests.geodesic_distance(seeded(spark, folder).withColumn("m", (F.col("v") > 100).cast("int")), "seed", "m")

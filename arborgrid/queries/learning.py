@@ -299,3 +299,15 @@ def bow_soft_coding(spark, folder):
 def grid_search(spark, folder):
     p = read(spark, folder, "part").groupBy("p_size", (F.col("p_partkey") % 7).cast("int").alias("q")).agg(F.max("p_retailprice").alias("f"))
     return learning.grid_search(p, "f")
+
+
+@query("semi_supervised")
+def semi_supervised(spark, folder):
+    """Every fourth vector keeps its label; the others get one."""
+    e = vectors(spark, folder).withColumn("label", F.when(F.col("vec_id") % 4 == 0, F.col("label")))
+    return learning.semi_supervised(e, "vec_id", "embedding", "label", 8, Scratch(spark, "semi")).withColumn("cost", F.round("cost", 6))
+
+
+@query("without_outliers", f"WITH {NB.format(k=5)}, s AS (SELECT id, avg(CAST(la = lb AS INT)) AS s FROM n GROUP BY 1) SELECT id AS vec_id FROM s WHERE s > 0.5")
+def without_outliers(spark, folder):
+    return learning.without_outliers(vectors(spark, folder), "vec_id", "embedding", "label", 5).select("vec_id")

@@ -163,3 +163,36 @@ def test_kmeans_and_path_forest_find_blobs(spark):
     got = learning.classify_path_forest(trained, train, test, "id", "vec").join(test.select("id", F.col("label").alias("t")), "id")
     assert got.where("label <> t").count() == 0
     assert learning.cluster_by_density(df, "id", "vec", 8, scratch).join(df.select("id", "label"), "id").groupBy("cluster").agg(F.countDistinct("label").alias("n")).where("n > 1").count() == 0
+
+
+def test_mixture_cut_and_basins(spark):
+    a = np.zeros((6, 8), dtype=int)
+    a[:, 4:] = 200
+    got = forests.mixture_cut(image(spark, a, {(0, 0): 1, (7, 5): 2}), "v", "seed").toPandas()
+    assert (got[got.x < 4].label == 1).all() and (got[got.x >= 4].label == 0).all()
+    b = np.full((5, 5), 9)
+    b[2, 2], b[0, 0] = 1, 2
+    full = forests.close_basins(image(spark, b), "v").toPandas()
+    assert full[(full.x == 2) & (full.y == 2)].closed.item() == 9 and full[(full.x == 0) & (full.y == 0)].closed.item() == 2
+    some = forests.close_basins(image(spark, b), "v", 3).toPandas()
+    assert some[(some.x == 2) & (some.y == 2)].closed.item() == 4
+    assert forests.gray_watershed(image(spark, b), "v", 3).select("region").distinct().count() == 2
+    assert forests.superpixels_recentred(image(spark, a), "v", 4).toPandas().superpixel.nunique() == 2
+
+
+def test_semi_supervised_and_outliers(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(c, 0.3, (30, 2)) for c in ((0, 0), (9, 9))])
+    rows = [(i, list(map(float, v)), i // 30 if i % 10 == 0 else None, i // 30 if i != 5 else 1) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, vec array<double>, some int, label int")
+    got = {r["id"]: r["label"] for r in learning.semi_supervised(df, "id", "vec", "some", 4, Scratch(spark)).collect()}
+    assert got == {i: i // 30 for i in range(60)}
+    assert {r["id"] for r in learning.without_outliers(df, "id", "vec", "label", 4).collect()} == set(range(60)) - {5}
+
+
+def test_sql_hooks(spark):
+    from arborgrid.functions import hooks
+
+    hooks.register(spark)
+    assert spark.sql("SELECT vector_l2(array(0.0D, 3.0D), array(4.0D, 0.0D)) AS d").first()["d"] == 5.0
+    assert {tuple(r) for r in spark.sql("SELECT * FROM grid_sampler(4, 4, 2)").collect()} == {(1, 1), (3, 1), (1, 3), (3, 3)}
