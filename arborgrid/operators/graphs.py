@@ -55,10 +55,12 @@ def minimum_spanning_forest(edges: DataFrame, scratch: Scratch) -> DataFrame:
     chosen: list[DataFrame] = []
     while not now.isEmpty():
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"), "e"))
-        best = scratch.put(both.groupBy("u").agg(F.min("e").alias("e")).select("e").distinct())
-        chosen.append(best.select("e.a", "e.b", "e.w"))
-        ends = now.join(best, "e", "left_semi").select(F.col("u").alias("a"), F.col("v").alias("b"))
-        roots = scratch.put(connected_components(ends, scratch))
+        best = scratch.put(both.groupBy("u").agg(F.min(F.struct("e", "v")).alias("m")).select("u", F.col("m.v").alias("to"), "m.e"))
+        chosen.append(best.select("e.a", "e.b", "e.w").distinct())
+        # weights are unique, so chosen arcs form trees with one mutual pair each: its smaller end is the root
+        back = best.select(F.col("u").alias("to"), F.col("to").alias("back"))
+        pred = best.join(back, "to").select(F.col("u").alias("id"), F.when((F.col("back") != F.col("u")) | (F.col("u") > F.col("to")), F.col("to")).alias("pred"))
+        roots = scratch.put(forest_descendants(pred, scratch).select("id", "root"))
         ru, rv = roots.select(F.col("id").alias("u"), F.col("root").alias("ru")), roots.select(F.col("id").alias("v"), F.col("root").alias("rv"))
         left = now.join(ru, "u").join(rv, "v").where("ru <> rv").groupBy(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).agg(F.min("e").alias("e"))
         nxt = scratch.put(left)

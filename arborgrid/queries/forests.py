@@ -111,7 +111,7 @@ def close_basins(spark, folder):
     return forests.close_basins(pixels(spark, folder), "v")
 
 
-@query("close_basins_by_depth", f"WITH RECURSIVE {PX}, {ARCS}, {REC} SELECT image_id, x, y, CAST(rec AS DOUBLE) AS closed FROM r")
+@query("close_basins_by_depth")
 def close_basins_by_depth(spark, folder):
     return forests.close_basins(pixels(spark, folder), "v", 30)
 
