@@ -161,6 +161,24 @@ def test_projection_keeps_blobs_apart(spark):
     assert np.linalg.norm(a.mean(0) - b.mean(0)) > 2 * max(a.std(), b.std())
 
 
+def test_projection_has_every_row(spark):
+    rng = np.random.default_rng(1)
+    df = spark.createDataFrame([(i, list(map(float, rng.normal(10 * (i % 3), 0.3, 4)))) for i in range(4500)], "id long, v array<double>")
+    t = search.tsne(df, "id", "v", perplexity=5, rounds=2)
+    assert t["id"].tolist() == list(range(4500)) and np.isfinite(t[["x", "y"]].to_numpy()).all()
+
+
+def test_repulsion_by_grid_equals_all_pairs():
+    y = np.random.default_rng(2).normal(0, 15, (700, 2))
+    d = y[:, None] - y[None]
+    w = 1 / (1 + (d * d).sum(2))
+    true = ((w * w)[:, :, None] * d).sum(1)
+    for exact, near in ((5000, 1e-9), (0, 3e-2)):
+        push, total = search.Repulsion(exact)(y)
+        assert abs(total / (w.sum() - 700) - 1) < near
+        assert np.linalg.norm(push - true) < near * np.linalg.norm(true)
+
+
 def test_pooling_and_resizing(spark):
     p = pixels(spark, np.arange(16).reshape(4, 4))
     assert {(r["x"], r["y"]): r["max_pool"] for r in grid.pool(p, "v", 2).collect()} == {(0, 0): 5, (1, 0): 7, (0, 1): 13, (1, 1): 15}
