@@ -161,6 +161,47 @@ def knn_edges(df: DataFrame, id_col: str, vec_col: str, k: int) -> DataFrame:
     return n.select(F.least("id", "neighbour").alias("a"), F.greatest("id", "neighbour").alias("b"), F.col("dist").alias("w")).groupBy("a", "b").agg(F.min("w").alias("w"))
 
 
+def spanning_tree(df: DataFrame, id_col: str, vec_col: str, k: int, scratch: Scratch) -> DataFrame:
+    """(a, b, w): the minimum spanning tree of all vectors, that of the complete graph; ties by (a, b).
+
+    Boruvka rounds: a vector's nearest one outside its component is read from its ``k`` nearest; only
+    vectors whose list lies inside their component, and may still hold its shortest way out, are
+    searched against all in blocks.
+    """
+    rows = scratch.put(df.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec")))
+    n = rows.count()
+    lists = scratch.put(neighbours.nearest(rows, rows, "id", "vec", k, exclude_self=True, n_queries=n, n_points=n))
+    comp = scratch.put(rows.select("id", F.col("id").alias("root")))
+    arc = F.struct(F.col("dist").alias("w"), F.least("id", "neighbour").alias("a"), F.greatest("id", "neighbour").alias("b"), F.col("other").alias("to"))
+    chosen: list[DataFrame] = []
+    while comp.select("root").distinct().limit(2).count() > 1:
+        other = comp.select(F.col("id").alias("neighbour"), F.col("root").alias("other"))
+        met = lists.join(comp, "id").join(other, "neighbour")
+        own = scratch.put(met.groupBy("id", "root").agg(F.max("dist").alias("radius"), F.min(F.when(F.col("root") != F.col("other"), arc)).alias("e")))
+        known = own.groupBy("root").agg(F.min("e.w").alias("w"))
+        inside = scratch.put(own.where("e IS NULL").join(known, "root").where("w IS NULL OR radius <= w").select("id", "root"))
+        found = own.where("e IS NOT NULL").select("root", "e")
+        searched = inside.count()
+        if searched:
+            out = neighbours.nearest(rows.join(inside, "id"), rows.join(comp, "id"), "id", "vec", 1, n_queries=searched, n_points=n, apart_col="root")
+            found = found.unionByName(out.join(comp, "id").join(other, "neighbour").select("root", arc.alias("e")))
+        best = scratch.put(found.groupBy("root").agg(F.min("e").alias("e")).select("root", "e", "e.to"))
+        chosen.append(best.select("e.a", "e.b", "e.w").distinct())
+        # arcs are ordered without ties, so each tree of components has one mutual pair: its smaller end is the root
+        back = best.select(F.col("root").alias("to"), F.col("to").alias("back"))
+        pred = best.join(back, "to").select(F.col("root").alias("id"), F.when((F.col("back") != F.col("root")) | (F.col("root") > F.col("to")), F.col("to")).alias("pred"))
+        tops = graphs.forest_descendants(pred, scratch).select(F.col("id").alias("root"), F.col("root").alias("top"))
+        nxt = scratch.put(comp.join(tops, "root").select("id", F.col("top").alias("root")))
+        scratch.drop(comp, own, inside)
+        comp = nxt
+    if not chosen:
+        return df.sparkSession.createDataFrame([], "a long, b long, w double")
+    tree = chosen[0]
+    for c in chosen[1:]:
+        tree = tree.unionByName(c)
+    return tree.distinct()
+
+
 def prototypes(mst: DataFrame, labels: DataFrame) -> DataFrame:
     """Ends of the spanning arcs that join different classes."""
     la, lb = labels.select(F.col("id").alias("a"), F.col("label").alias("la")), labels.select(F.col("id").alias("b"), F.col("label").alias("lb"))
@@ -169,14 +210,13 @@ def prototypes(mst: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def train_path_forest(df: DataFrame, id_col: str, vec_col: str, label_col: str, k: int, scratch: Scratch) -> DataFrame:
-    """Supervised optimum-path forest on the k-nearest graph: prototypes from the spanning forest,
-    then least largest arc. (id, cost, label, root); samples no prototype reaches keep their label at
-    cost 0."""
-    edges = scratch.put(knn_edges(df, id_col, vec_col, k))
-    mst = scratch.put(graphs.minimum_spanning_forest(edges, scratch))
+    """Supervised optimum-path forest on the complete graph: prototypes from the spanning tree (found
+    by lists of the ``k`` nearest), then least largest arc. (id, cost, label, root); where all samples
+    are of one class there is no prototype, and they keep their label at cost 0."""
+    mst = scratch.put(spanning_tree(df, id_col, vec_col, k, scratch))
     labels = df.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"))
     seeds = prototypes(mst, labels).withColumn("cost", F.lit(0.0))
-    # costs on the spanning forest equal those on the graph: its paths have the least largest arcs
+    # costs on the spanning tree equal those on the graph: its paths have the least largest arcs
     forest = graphs.path_forest(mst, seeds, scratch, graphs.fmax)
     rest = labels.join(forest.select("id"), "id", "left_anti").select("id", F.lit(0.0).alias("cost"), "label", F.col("id").alias("root"))
     return forest.unionByName(rest)
@@ -191,10 +231,9 @@ def classify_path_forest(trained: DataFrame, train: DataFrame, test: DataFrame,
 
 def semi_supervised(df: DataFrame, id_col: str, vec_col: str, label_col: str, k: int, scratch: Scratch) -> DataFrame:
     """Labels for all samples from the few that have one (label not null): least largest arc on the
-    spanning forest of the k-nearest graph, labelled samples at cost 0. (id, label, cost); samples that
-    no label reaches are left out."""
-    edges = scratch.put(knn_edges(df, id_col, vec_col, k))
-    mst = scratch.put(graphs.minimum_spanning_forest(edges, scratch))
+    spanning tree of the complete graph, labelled samples at cost 0. (id, label, cost) of every sample
+    with a vector, if any has a label."""
+    mst = scratch.put(spanning_tree(df, id_col, vec_col, k, scratch))
     seeds = df.where(F.col(label_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.lit(0.0).alias("cost"))
     return graphs.path_forest(mst, seeds, scratch, graphs.fmax).select("id", "label", "cost")
 

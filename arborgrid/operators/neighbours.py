@@ -19,10 +19,10 @@ from pyspark.sql import types as T
 BLOCK = 2048
 
 
-def _side(df: DataFrame, id_col: str, vec_col: str, extra: list[str], blocks: int, other: int, query: bool) -> DataFrame:
+def _side(df: DataFrame, id_col: str, vec_col: str, extra: list[str], blocks: int, other: int, query: bool, apart_col: str | None = None) -> DataFrame:
     own = F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(other - 1)))
-    cols = [F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), *[F.col(c).cast("double").alias(c) for c in extra]]
+    cols = [F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), *[F.col(c).cast("double").alias(c) for c in extra], *([F.col(apart_col).cast("long").alias("_apart")] if apart_col else [])]
     rows = df.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull())
     return rows.select(*cols, (own if query else every).alias("qb"), (every if query else own).alias("pb"))
 
@@ -36,14 +36,15 @@ def pairwise(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def nearest(queries: DataFrame, points: DataFrame, id_col: str, vec_col: str, k: int, cost_col: str | None = None, exclude_self: bool = False, block: int = BLOCK, n_queries: int | None = None, n_points: int | None = None) -> DataFrame:
+def nearest(queries: DataFrame, points: DataFrame, id_col: str, vec_col: str, k: int, cost_col: str | None = None, exclude_self: bool = False, block: int = BLOCK, n_queries: int | None = None, n_points: int | None = None, apart_col: str | None = None) -> DataFrame:
     """(id, neighbour, dist, rank) of the k nearest points; with ``cost_col`` the distance to a point is
-    max(its cost, distance), as in path-cost classification."""
+    max(its cost, distance), as in path-cost classification; with ``apart_col``, a number both sides
+    have, only points of another number are neighbours."""
     nq, np_ = n_queries or queries.count(), n_points or points.count()
     qb, pb = max(1, -(-nq // block)), max(1, -(-np_ // block))
     extra = [cost_col] if cost_col else []
-    q = _side(queries, id_col, vec_col, [], qb, pb, True)
-    p = _side(points, id_col, vec_col, extra, pb, qb, False)
+    q = _side(queries, id_col, vec_col, [], qb, pb, True, apart_col)
+    p = _side(points, id_col, vec_col, extra, pb, qb, False, apart_col)
     out = T.StructType([T.StructField("id", T.LongType()), T.StructField("neighbour", T.LongType()), T.StructField("dist", T.DoubleType())])
 
     def block_nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -55,6 +56,8 @@ def nearest(queries: DataFrame, points: DataFrame, id_col: str, vec_col: str, k:
         ids = right["id"].to_numpy()
         if exclude_self:
             d[left["id"].to_numpy()[:, None] == ids[None, :]] = np.inf
+        if apart_col:
+            d[left["_apart"].to_numpy()[:, None] == right["_apart"].to_numpy()[None, :]] = np.inf
         order = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :k]
         dist = np.take_along_axis(d, order, 1)
         ok = np.isfinite(dist)

@@ -180,6 +180,36 @@ def test_mixture_cut_and_basins(spark):
     assert forests.superpixels_recentred(image(spark, a), "v", 4).toPandas().superpixel.nunique() == 2
 
 
+def test_spanning_tree_equals_that_of_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([np.repeat(rng.normal(9 * i, 1, (1, 3)), 12, 0) for i in range(3)] + [rng.normal(0, 4, (60, 3))])
+    d = neighbours.pairwise(x, x)
+    up, true = list(range(len(x))), set()
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for w, a, b in sorted((d[a, b], a, b) for a in range(len(x)) for b in range(a + 1, len(x))):
+        if find(a) != find(b):
+            up[find(b)] = find(a)
+            true.add((a, b))
+    df = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(x)], "id long, vec array<double>")
+    assert {(r["a"], r["b"]) for r in learning.spanning_tree(df, "id", "vec", 4, Scratch(spark)).collect()} == true
+
+
+def test_copies_apart_from_all_lists_get_labels_and_prototypes(spark):
+    # twelve copies without a label, in nobody's list of the four nearest
+    rows = [(i, [float(i), 0.0], 1) for i in range(20)] + [(100 + i, [90.0, 90.0], 2) for i in range(12)]
+    df = spark.createDataFrame(rows, "id long, vec array<double>, label int")
+    some = df.withColumn("label", F.when(F.col("id") < 5, F.col("label")))
+    assert learning.semi_supervised(some, "id", "vec", "label", 4, Scratch(spark)).count() == 32
+    trained = learning.train_path_forest(df, "id", "vec", "label", 4, Scratch(spark)).collect()
+    assert {(r["label"], r["root"]) for r in trained} == {(1, 19), (2, 100)}
+    assert max(r["cost"] for r in trained) == 1.0
+
+
 def test_semi_supervised_and_outliers(spark):
     rng = np.random.default_rng(8)
     x = np.concatenate([rng.normal(c, 0.3, (30, 2)) for c in ((0, 0), (9, 9))])
