@@ -5,7 +5,6 @@ Pixels have image_id, x, y and value or label columns; see operators.grid for ne
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -145,17 +144,35 @@ def skeleton(pixels: DataFrame, mask: str) -> DataFrame:
     return per_image(pixels, run, "skeleton int")
 
 
+def _hull(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The corners of the convex hull of the points (x, y)."""
+    pts = sorted(set(zip(pdf["x"], pdf["y"])))
+    corners = []
+    for run in (pts, pts[::-1]):
+        side = []
+        for x, y in run:
+            while len(side) > 1 and (side[-1][0] - side[-2][0]) * (y - side[-2][1]) <= (side[-1][1] - side[-2][1]) * (x - side[-2][0]):
+                side.pop()
+            side.append((x, y))
+        corners += side
+    return pdf.iloc[[0] * len(corners)].assign(x=[c[0] for c in corners], y=[c[1] for c in corners])
+
+
 def furthest_pair(points: DataFrame, by: str) -> DataFrame:
-    """Diameter of each group of points: candidates are the extreme points in 32 directions, so a group
-    costs its rows once and at most 64 candidates meet. Exact up to a factor of cos(pi / 64)."""
-    angles = [math.pi * i / 32 for i in range(32)]
-    ext = []
-    for a in angles:
-        along = F.col("x") * math.cos(a) + F.col("y") * math.sin(a)
-        ext += [F.max_by(F.struct("x", "y"), F.struct(F.round(along, 9), "y", "x")), F.min_by(F.struct("x", "y"), F.struct(F.round(along, 9), "y", "x"))]
-    c = points.groupBy(by).agg(F.array_distinct(F.array(*ext)).alias("c"))
-    d = F.array_max(F.flatten(F.transform("c", lambda p: F.transform("c", lambda q: (p["x"] - q["x"]) ** 2 + (p["y"] - q["y"]) ** 2))))
-    return c.select(by, F.round(F.sqrt(d), 6).alias("diameter"))
+    """Diameter of each group of points, exact: the ends of each row of points, the convex hulls of 16
+    parts of a group, then the pairs of corners of the hull of these."""
+    kind = points.schema[by].dataType.simpleString()
+    ends = points.where("x IS NOT NULL AND y IS NOT NULL").groupBy(by, F.col("y").cast("double").alias("y")).agg(F.array(F.min("x").cast("double"), F.max("x").cast("double")).alias("x"))
+    ends = ends.select(by, F.explode("x").alias("x"), "y")
+
+    def diameter(pdf: pd.DataFrame) -> pd.DataFrame:
+        h = _hull(pdf)[["x", "y"]].to_numpy()
+        d = max(float(((h[i : i + 500, None] - h[None]) ** 2).sum(2).max()) for i in range(0, len(h), 500))
+        return pd.DataFrame({by: pdf[by].iloc[:1], "diameter": [d**0.5]})
+
+    schema = f"`{by}` {kind}, x double, y double"
+    parts = ends.withColumn("_part", F.pmod(F.xxhash64("x", "y"), F.lit(16))).groupBy(by, "_part").applyInPandas(lambda pdf: _hull(pdf.drop(columns="_part")), schema)
+    return parts.groupBy(by).applyInPandas(diameter, f"`{by}` {kind}, diameter double").select(by, F.round("diameter", 6).alias("diameter"))
 
 
 def intensity_profile(pixels: DataFrame, value: str, start: tuple[int, int], end: tuple[int, int]) -> DataFrame:

@@ -140,6 +140,13 @@ def test_diameter(spark):
     assert true * math.cos(math.pi / 64) <= descriptors.furthest_pair(df, "g").first()["diameter"] <= true + 1e-6
 
 
+def test_furthest_pair_between_directions_is_exact(spark):
+    turn = math.pi / 64  # half way between two of 32 directions
+    spokes = [(r * s, k * turn) for k, r in ((0, 998.9), (1, 1000.0), (2, 998.9)) for s in (1, -1)]
+    df = spark.createDataFrame([(1, r * math.cos(a), r * math.sin(a)) for r, a in spokes], "g int, x double, y double")
+    assert abs(descriptors.furthest_pair(df, "g").first()["diameter"] - 2000) < 1e-6
+
+
 def test_diffusion_keeps_constant_maps(spark):
     p = pixels(spark, np.full((4, 4), 9)).withColumn("s", F.lit(0.25))
     assert descriptors.diffuse(p, "s", "v", 2, Scratch(spark)).where("abs(s - 0.25) > 1e-9").count() == 0
