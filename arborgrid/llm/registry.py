@@ -64,13 +64,29 @@ def _nearest(spark, folder):
     return nearest.nearest(vectors, "node_id", "vec")
 
 
-@query("p4_neighbours")
+# vectors of usable nodes and all their distances; small tables only
+NEAREST = """WITH m AS (SELECT matrix_id, arg_max({'r': nrows, 'c': ncols, 'v': val}, coalesce(loaded_at, TIMESTAMP '1970-01-01')) AS m FROM ift_matrix GROUP BY 1),
+    g AS (SELECT node_id, min((z, sample)) AS g FROM ift_graph WHERE node_id IS NOT NULL AND z IS NOT NULL AND sample >= 0 GROUP BY 1),
+    v AS (SELECT node_id, list_transform(m.v[g[2] * m.c + 1 : g[2] * m.c + m.c], lambda e: CAST(e AS DOUBLE)) AS v FROM g JOIN m ON m.matrix_id = g[1] WHERE g[2] < m.r AND m.r > 0 AND m.c > 0 AND len(m.v[g[2] * m.c + 1 : g[2] * m.c + m.c]) = m.c),
+    u AS (SELECT * FROM v WHERE len(list_filter(v, lambda e: e IS NOT NULL AND isfinite(e))) = len(v)),
+    d AS (SELECT a.node_id AS id, b.node_id AS neighbour, list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM u a JOIN u b ON a.node_id <> b.node_id AND len(a.v) = len(b.v)),
+    n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(d, 12), neighbour) AS rank FROM d QUALIFY rank <= 10)"""
+
+
+@query("p4_neighbours", NEAREST + " SELECT id, CAST(rank AS INT) AS rank, neighbour, round(sqrt(d), 6) AS distance FROM n")
 def p4_neighbours(spark, folder):
     """The 10 nearest other nodes of every usable node, over all graphs."""
-    return _nearest(spark, folder)
+    return _nearest(spark, folder).withColumn("distance", F.round("distance", 6))
+
+
+@query("p4_recall")
+def p4_recall(spark, folder):
+    """Share of the true neighbours that are found, for the nodes whose id is divisible by 100."""
+    vectors = nearest.matrix_rows(read(spark, folder, "ift_matrix"), read(spark, folder, "ift_graph"))
+    return nearest.recall(vectors, "node_id", "vec")
 
 
-@query("p4_found")
+@query("p4_found", NEAREST + " SELECT DISTINCT least(id, neighbour) AS node_a, greatest(id, neighbour) AS node_b FROM n")
 def p4_found(spark, folder):
     """Pairs of nodes of which one is among the other's 10 nearest."""
     pairs = _nearest(spark, folder).select(F.least("id", "neighbour").alias("node_a"), F.greatest("id", "neighbour").alias("node_b"))

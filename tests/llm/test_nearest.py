@@ -30,8 +30,59 @@ def test_recall_of_few_probes_and_blocks(spark):
     rows = {i: list(map(float, v)) for i, v in enumerate(x)}
     df = spark.createDataFrame(list(rows.items()), "id long, vec array<float>")
     want = {p[:2] for p in brute(rows, 10)}
-    got = {(r["id"], r["neighbour"]) for r in nearest.nearest(df, "id", "vec", leaf=100, probes=12, block=60).collect()}
+    got = {(r["id"], r["neighbour"]) for r in nearest.nearest(df, "id", "vec", leaf=100, probes=12).collect()}
     assert len(got & want) / len(want) > 0.9
+    assert got == {(r["id"], r["neighbour"]) for r in _small_blocks(nearest, lambda: nearest.nearest(df, "id", "vec", leaf=100, probes=12).collect())}
+
+
+def _small_blocks(module, run):
+    kept = module.POINTS_BLOCK, module.QUERIES_BLOCK, module.LISTS_BLOCK
+    module.POINTS_BLOCK, module.QUERIES_BLOCK, module.LISTS_BLOCK = 60, 80, 500
+    try:
+        return run()
+    finally:
+        module.POINTS_BLOCK, module.QUERIES_BLOCK, module.LISTS_BLOCK = kept
+
+
+def test_probes_follow_from_the_wanted_recall(spark):
+    rng = np.random.default_rng(2)
+    for n in (1000, 4000):  # no structure at all: a fixed number of leaves would lose recall as n grows
+        x = rng.normal(size=(n, 8)).astype(np.float32)
+        df = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(x)], "id long, vec array<float>")
+        got = {}
+        for r in nearest.nearest(df, "id", "vec", leaf=64, recall=0.97).collect():
+            got.setdefault(r["id"], set()).add(r["neighbour"])
+        d = ((x[:, None].astype(float) - x[None]) ** 2).sum(2) if n < 2000 else None
+        if d is not None:
+            np.fill_diagonal(d, np.inf)
+            true = np.argsort(d, axis=1, kind="stable")[:, :10]
+            hit = sum(len(got[i] & set(true[i].tolist())) for i in range(n)) / (10 * n)
+        else:
+            hit = nearest.recall(df, "id", "vec").first()["recall"]
+        assert hit > 0.93
+
+
+def test_turns_name_the_leaf_that_search_reaches():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 5)).astype(np.float32)
+    forest = nearest.Forest(x, 3, 4)
+    turns = forest.turns(x[:20], [x[30 + i : 60 + i] for i in range(20)]).reshape(20, 30)
+    own, flag = forest.search(x, 3)
+    leaves = [set(o[f].tolist()) for o, f in zip(own, flag)]
+    for probes in (3, 7, 20):
+        reached = forest.search(x[:20], probes)[0]
+        for i in range(20):
+            for j in range(30):
+                assert (turns[i, j] <= probes) == bool(set(reached[i].tolist()) & leaves[30 + i + j])
+
+
+def test_a_class_with_most_rows(spark):
+    rows = {i: [1.0, 2.0] if i % 10 else [float(i), 0.0] for i in range(600)}
+    df = spark.createDataFrame(list(rows.items()), "id long, vec array<float>")
+    got = {(r["id"], r["neighbour"], r["rank"]) for r in nearest.nearest(df, "id", "vec", k=3, leaf=16).collect()}
+    assert got == brute(rows, 3)
+    r = nearest.recall(df, "id", "vec", 3).first()
+    assert (r["queries"], r["neighbours"], r["recall"]) == (6, 18, 1.0)
 
 
 def test_few_and_none(spark):
