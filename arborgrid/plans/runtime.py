@@ -31,7 +31,8 @@ class Scratch:
     """Parquet tables in the shared checkpoint folder that cut the lineage of iterative plans.
 
     A table written here survives the loss of executors, is columnar and compressed, and later
-    plans read only the columns they need. ``drop`` removes tables that no later plan reads.
+    plans read only the columns they need. ``drop`` removes tables that no later plan reads; what
+    lazy results still read is removed when the application ends.
     """
 
     def __init__(self, spark: SparkSession, name: str = "work"):
@@ -44,6 +45,9 @@ class Scratch:
         path = f"{self.root}/t{self._n}"
         self._n += 1
         (df.coalesce(files) if files else df).write.parquet(path)
+        if self._n == 1:  # the whole folder goes when the application ends
+            root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+            root.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(root)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._arborgrid_path = path
         return out
