@@ -2,11 +2,13 @@
 
 1. Keys: every record gives up to one key a field (normalised; none where missing or a stand-in).
 2. Edges: the members of a key are tied to its smallest id by a star of two levels, over salted
-   parts of the key, so a key that a third of all records share makes no hot vertex.
+   parts of at most about PART_ROWS records, so a key that a third of all records share makes no
+   hot vertex. Keys of less than 1/2000 of all rows stay whole.
 3. Boruvka rounds: each component takes its smallest incident edge, the chosen edges are added to
    the forest, chosen trees are contracted by pointer jumping, edges are relabelled and repeated
    ones merged. A component's name is its smallest id. Each round at least halves the components
    that still have edges; rounds are written to the shared folder, which cuts the lineage.
+   Components that many edges or ids point to meet them by plans.lookup.
 4. Deal: components of at least 1/200 of all records (at most 200) are given, largest first, to
    the split that lacks most. The others are dealt by size band (powers of two) in hash order:
    the r-th card of a band goes where r times the golden ratio falls among the shares still open.
@@ -26,9 +28,9 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arborgrid.plans import Scratch, grouped_rank
+from arborgrid.plans import Scratch, grouped_rank, lookup, skew
 
-SALTS = 32
+PART_ROWS, BIG_KEYS = 10_000, 2_000
 BIG_SHARE = 200
 
 
@@ -75,11 +77,15 @@ def entity_key(c: Column) -> Column:
 KEYS = {"author": author_key, "source": source_key, "entity": entity_key}
 
 
-def star_edges(df: DataFrame, id_col: str, keys: Mapping[str, Column], scratch: Scratch) -> DataFrame:
+def star_edges(df: DataFrame, id_col: str, keys: Mapping[str, Column], scratch: Scratch, part_rows: int = PART_ROWS) -> DataFrame:
     """(u, v) with u < v that tie the ids of each key together."""
     pairs = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.explode(F.array(*[F.concat(F.lit(f"{n}:"), k) for n, k in keys.items()])).alias("key"))
-    pairs = pairs.where(F.col("key").isNotNull()).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    pairs = scratch.put(pairs.distinct())
+    pairs = scratch.put(pairs.where(F.col("key").isNotNull()).distinct())
+    # a row a key that is to be cut, BIG_KEYS rows at most
+    big = pairs.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(2 * part_rows, -(-pairs.count() // BIG_KEYS)))
+    big = F.broadcast(big.select("key", F.ceil(F.col("n") / part_rows).alias("salts")))
+    salt = F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1))).cast("int")
+    pairs = scratch.put(pairs.join(big, "key", "left").select("id", "key", salt.alias("salt")))
     parts = pairs.groupBy("key", "salt").agg(F.min("id").alias("part_min"))
     heads = parts.groupBy("key").agg(F.min("part_min").alias("head"))
     inner = pairs.join(parts, ["key", "salt"]).select(F.col("part_min").alias("u"), F.col("id").alias("v"))
@@ -100,10 +106,10 @@ def spanning_forest(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, Data
         forest.append(best.select("e.*").distinct())
         # the smallest id of a tree chose the same edge as its peer: it is the root
         back = best.select(F.col("u").alias("to"), F.col("to").alias("back"))
-        up = scratch.put(best.join(back, "to").select("u", F.when((F.col("back") == F.col("u")) & (F.col("u") < F.col("to")), F.col("u")).otherwise(F.col("to")).alias("root")))
+        up = scratch.put(lookup(best, back, "to").select("u", F.when((F.col("back") == F.col("u")) & (F.col("u") < F.col("to")), F.col("u")).otherwise(F.col("to")).alias("root")))
         while True:
             above = up.select(F.col("u").alias("root"), F.col("root").alias("top"))
-            nxt = scratch.put(up.join(above, "root").select("u", F.col("top").alias("root"), (F.col("top") != F.col("root")).alias("moved")))
+            nxt = scratch.put(lookup(up, above, "root").select("u", F.col("top").alias("root"), (F.col("top") != F.col("root")).alias("moved")))
             moved = not nxt.where("moved").isEmpty()
             scratch.drop(up)
             up = nxt
@@ -112,7 +118,10 @@ def spanning_forest(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, Data
         up = up.select("u", "root")
         rounds.append(up)
         ends = up.withColumnRenamed("root", "ru")
-        left = now.join(ends, "u").select("ru", "v", "e").join(up.select(F.col("u").alias("v"), F.col("root").alias("rv")), "v")
+        n = now.count()
+        half = lookup(now, ends, "u", total=n).select("ru", "v", "e")
+        half = scratch.put(half) if n > skew.TASK_ROWS else half
+        left = lookup(half, up.select(F.col("u").alias("v"), F.col("root").alias("rv")), "v", total=n)
         left = left.where("ru <> rv").groupBy(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).agg(F.min("e").alias("e"))
         nxt = scratch.put(left)
         scratch.drop(now)
@@ -123,7 +132,7 @@ def spanning_forest(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, Data
     roots = rounds[-1]
     for r in reversed(rounds[:-1]):
         later = roots.select(F.col("u").alias("root"), F.col("root").alias("top"))
-        roots = r.join(later, "root", "left").select("u", F.coalesce("top", "root").alias("root"))
+        roots = lookup(r, later, "root", "left").select("u", F.coalesce("top", "root").alias("root"))
     tree = forest[0]
     for f in forest[1:]:
         tree = tree.unionByName(f)

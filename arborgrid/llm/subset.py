@@ -1,23 +1,28 @@
 """Problem 2: a varied subset of given size per request.
 
 1. Local density: each vector falls into one bucket of each of ``rounds`` locality-sensitive hash
-   functions (floors of random projections, of a width taken from the data's spread). Its density
-   is the mean number of the request's candidates in its buckets, counted before any shuffle.
+   functions (floors of random projections, drawn for each length of vector, of a width taken from
+   the spread of vectors of that length). Its density is the mean number of the request's
+   candidates in its buckets, counted before any shuffle.
 2. Weighted draw: a candidate's key is -ln(u) * density with u a hash of (request, node) in (0, 1);
    the smallest keys form a sample without replacement with probability inverse to density.
-3. Cover: the request's size is spread over its clusters as evenly as they allow (round by round;
-   the last, partial round goes to the clusters with the smallest hash), and a cluster's root,
-   where it is a candidate of the cluster, comes before the draw. Within a cluster the keys decide.
+3. Cover: half of the request's size is spread over its clusters evenly, at least one node each
+   (where there are more clusters than that, those with the smallest hash); the other half goes to
+   clusters by the sum of their members' inverse densities, that is by their expected share of the
+   weighted draw, with the largest remainder. A cluster's root, where it is a candidate of the
+   cluster, comes before the draw. Within a cluster the keys decide.
 
 Candidates of a request are counted and ranked by cluster and hash bucket (plans.ranking); they
-are never brought together in one task. A request's list of cluster sizes is as long as its
-``clusterlist`` and is allotted in one task.
+are never brought together in one task. Buckets that hold at least 1/200 of all candidates (200 a
+hash function at most) meet them by a broadcast. A request's list of cluster sizes is as long as
+its ``clusterlist`` and is allotted in one task.
 
 Defined cases: nodes that do not exist, nulls and null or empty clusters are no candidates; a node
-listed more than once counts once, in the first of its clusters; a candidate without a usable
-vector has the density of the vectorless nodes of its cluster; requests for null or fewer than one
-node give no rows; requests for more than there are give all; requests without a selector row, and
-selector rows without a request, give no rows; repeated selector rows count once.
+listed more than once counts once, in the cluster it is the root of, else in the first of its
+clusters; a candidate without a usable vector has the density of the vectorless nodes of its
+cluster; requests for null or fewer than one node give no rows; requests for more than there are
+give all; requests without a selector row, and selector rows without a request, give no rows;
+repeated selector rows count once.
 """
 
 from __future__ import annotations
@@ -28,9 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from arborgrid.llm.quota import allocate
 from arborgrid.plans import Scratch, take_smallest
 
 ROUNDS, PLANES, SEED = 8, 4, 17
+BIG_SHARE = 200
 
 
 def candidates(selectors: DataFrame, existing: DataFrame) -> DataFrame:
@@ -38,60 +45,80 @@ def candidates(selectors: DataFrame, existing: DataFrame) -> DataFrame:
     lists = F.posexplode(F.zip_with("clusterlist", F.coalesce("rootarray", F.array().cast("array<bigint>")), lambda c, r: F.struct(c.alias("nodes"), r.alias("root"))))
     one = selectors.where("selector_id IS NOT NULL AND clusterlist IS NOT NULL").select("selector_id", lists.alias("cluster", "c")).distinct()
     nodes = one.select("selector_id", "cluster", F.col("c.root").alias("root"), F.explode("c.nodes").alias("node")).where("node IS NOT NULL")
-    nodes = nodes.groupBy("selector_id", "node").agg(F.min(F.struct("cluster", "root")).alias("f"))
-    nodes = nodes.select("selector_id", "node", "f.cluster", F.coalesce(F.col("f.root") == F.col("node"), F.lit(False)).alias("is_root"))
+    other = F.coalesce(F.col("root") != F.col("node"), F.lit(True))
+    nodes = nodes.groupBy("selector_id", "node").agg(F.min(F.struct(other.alias("other"), "cluster")).alias("f"))
+    nodes = nodes.select("selector_id", "node", "f.cluster", (~F.col("f.other")).alias("is_root"))
     return nodes.join(existing.where("node_id IS NOT NULL").select(F.col("node_id").alias("node")).distinct(), "node")
 
 
-def _widths(vectors: DataFrame) -> tuple[int, float]:
-    """The commonest length and the mean deviation over its places (one aggregate of a row a place)."""
-    places = vectors.select(F.size("vec").alias("d"), F.posexplode("vec").alias("p", "v")).groupBy("d", "p").agg(F.stddev_pop("v").alias("s"), F.count("v").alias("n"))
-    r = places.groupBy("d").agg(F.avg("s").alias("s"), F.max("n").alias("n")).orderBy(F.desc("n"), "d").first()
-    return (r["d"], float(r["s"] or 0) or 1.0) if r else (0, 1.0)
+def widths(vectors: DataFrame) -> dict[int, float]:
+    """Mean deviation over the places of the vectors of each length (a row a length reaches the driver)."""
+
+    def sums(batches):
+        for pdf in batches:
+            length = pdf["vec"].map(len).to_numpy()
+            for d in np.unique(length):
+                x = np.stack(pdf["vec"].to_numpy()[length == d]).astype(float)
+                yield pd.DataFrame({"d": int(d), "p": np.arange(d, dtype="int32"), "n": len(x), "s": x.sum(0), "q": (x * x).sum(0)})
+
+    places = vectors.select("vec").mapInPandas(sums, "d int, p int, n long, s double, q double").groupBy("d", "p").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
+    dev = F.sqrt(F.greatest(F.col("q") / F.col("n") - (F.col("s") / F.col("n")) ** 2, F.lit(0.0)))
+    return {r["d"]: float(r["w"]) or 1.0 for r in places.groupBy("d").agg(F.avg(dev).alias("w")).collect()}
 
 
 def buckets(vectors: DataFrame, rounds: int = ROUNDS, planes: int = PLANES, width: float = 1.0, seed: int = SEED) -> DataFrame:
     """(node, codes): one bucket code a round, from ``planes`` random projections each."""
-    dim, spread = _widths(vectors)
-    rng = np.random.default_rng(seed)
-    normals = rng.standard_normal((dim, rounds * planes)).astype(np.float32)
-    normals /= np.maximum(np.linalg.norm(normals, axis=0), 1e-9)
-    shift = rng.random(rounds * planes).astype(np.float32)
-    step = float(width * spread)
+    spread = widths(vectors)
 
     def run(batches):
+        drawn: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for pdf in batches:
-            ok = pdf["vec"].map(len) == dim
-            pdf = pdf[ok]
-            if len(pdf) == 0:
-                continue
-            x = np.stack(pdf["vec"].to_numpy()).astype(np.float32)
-            cells = np.floor(x @ normals / step + shift).astype(np.int64).reshape(len(x), rounds, planes)
-            mixed = np.zeros((len(x), rounds), dtype=np.int64)
-            for p in range(planes):
-                mixed = mixed * 1_000_003 + cells[:, :, p]
-            yield pd.DataFrame({"node": pdf["node"], "codes": list(mixed)})
+            length = pdf["vec"].map(len).to_numpy()
+            for d in np.unique(length).tolist():
+                if d not in drawn:
+                    rng = np.random.default_rng((seed, d))
+                    normals = rng.standard_normal((d, rounds * planes)).astype(np.float32)
+                    drawn[d] = normals / np.maximum(np.linalg.norm(normals, axis=0), 1e-9), rng.random(rounds * planes).astype(np.float32)
+                normals, shift = drawn[d]
+                part = pdf[length == d]
+                x = np.stack(part["vec"].to_numpy()).astype(np.float32)
+                cells = np.floor(x @ normals / (width * spread[d]) + shift).astype(np.int64).reshape(len(x), rounds, planes)
+                mixed = np.full((len(x), rounds), d, dtype=np.int64)
+                for p in range(planes):
+                    mixed = mixed * 1_000_003 + cells[:, :, p]
+                yield pd.DataFrame({"node": part["node"], "codes": list(mixed)})
 
     return vectors.mapInPandas(run, "node long, codes array<long>")
 
 
 def _shares(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Quota of each cluster of one request: even rounds, the last by hash."""
-    left, size = int(pdf["nsamples"].iloc[0]), pdf["size"].to_numpy(np.int64)
-    quota = np.zeros(len(size), dtype=np.int64)
-    order = np.argsort(pdf["turn"].to_numpy(), kind="stable")
-    while left > 0:
-        free = order[size[order] > quota[order]]
-        if len(free) == 0:
-            break
-        step = min(int((size[free] - quota[free]).min()), left // len(free))
-        if step:
-            quota[free] += step
-            left -= step * len(free)
-        else:
-            quota[free[:left]] += 1
-            left = 0
-    return pdf.assign(quota=quota)
+    """Quota of each cluster of one request."""
+    size, want = pdf["size"].to_numpy(np.int64), int(pdf["nsamples"].iloc[0])
+    even = np.full(len(size), max(want // (2 * len(size)), 1))
+    if want < len(size):
+        even = np.zeros(len(size), dtype=np.int64)
+        even[np.argsort(pdf["turn"].to_numpy(), kind="stable")[:want]] = 1
+    return pdf.assign(quota=allocate(pdf["variety"].to_numpy(float), even, size, want))
+
+
+def coded_candidates(selectors: DataFrame, requests: DataFrame, existing: DataFrame, vectors: DataFrame, scratch: Scratch, rounds: int = ROUNDS, planes: int = PLANES) -> tuple[DataFrame, DataFrame]:
+    """Requests (selector_id, nsamples), and candidates (selector_id, node, cluster, is_root, codes)."""
+    asked = scratch.put(requests.where("selector_id IS NOT NULL AND nsamples >= 1").groupBy("selector_id").agg(F.max("nsamples").alias("nsamples")))
+    cand = candidates(selectors, existing).join(asked.select("selector_id"), "selector_id")
+    codes = buckets(vectors.select(F.col("node_id").alias("node"), "vec"), rounds, planes)
+    none = F.array(F.concat(F.lit("c"), F.col("cluster")))
+    named = F.transform("codes", lambda c, i: F.concat_ws(":", i, c))
+    return asked, scratch.put(cand.join(codes, "node", "left").select("selector_id", "node", "cluster", "is_root", F.coalesce(named, none).alias("codes")))
+
+
+def densities(coded: DataFrame, scratch: Scratch) -> DataFrame:
+    """(selector_id, node, density): mean count of a candidate's buckets."""
+    flat = coded.select("selector_id", "node", F.explode("codes").alias("code"))
+    counts = scratch.put(flat.groupBy("selector_id", "code").agg(F.count(F.lit(1)).alias("n")))
+    limit = max(2, -(-coded.count() // BIG_SHARE))
+    told = flat.join(F.broadcast(counts.where(F.col("n") >= limit)), ["selector_id", "code"], "left")  # BIG_SHARE rows a round at most
+    rest = told.where("n IS NULL").drop("n").join(counts.where(F.col("n") < limit), ["selector_id", "code"])
+    return told.where("n IS NOT NULL").unionByName(rest).groupBy("selector_id", "node").agg(F.avg("n").alias("density"))
 
 
 def varied_subset(selectors: DataFrame, requests: DataFrame, existing: DataFrame, vectors: DataFrame, rounds: int = ROUNDS, planes: int = PLANES) -> DataFrame:
@@ -100,18 +127,13 @@ def varied_subset(selectors: DataFrame, requests: DataFrame, existing: DataFrame
     ``existing`` has node_id, ``vectors`` has node_id and vec (usable vectors only).
     """
     scratch = Scratch(selectors.sparkSession, "subset")
-    asked = requests.where("selector_id IS NOT NULL AND nsamples >= 1").groupBy("selector_id").agg(F.max("nsamples").alias("nsamples"))
-    cand = scratch.put(candidates(selectors, existing).join(asked.select("selector_id"), "selector_id"))
-    codes = buckets(vectors.select(F.col("node_id").alias("node"), "vec"), rounds, planes)
-    none = F.array(F.concat(F.lit("c"), F.col("cluster")))
-    named = F.transform("codes", lambda c, i: F.concat_ws(":", i, c))
-    coded = scratch.put(cand.join(codes, "node", "left").select("selector_id", "node", "cluster", "is_root", F.coalesce(named, none).alias("codes")))
-    flat = coded.select("selector_id", "node", F.explode("codes").alias("code"))
-    counts = flat.groupBy("selector_id", "code").agg(F.count(F.lit(1)).alias("n"))
-    density = flat.join(counts, ["selector_id", "code"]).groupBy("selector_id", "node").agg(F.avg("n").alias("density"))
-    weighed = coded.drop("codes").join(density, ["selector_id", "node"])
+    return _drawn(*coded_candidates(selectors, requests, existing, vectors, scratch, rounds, planes), scratch)
+
 
-    sizes = cand.groupBy("selector_id", "cluster").agg(F.count(F.lit(1)).alias("size")).join(asked, "selector_id").withColumn("turn", F.xxhash64(F.lit(SEED), "selector_id", "cluster"))
+def _drawn(asked: DataFrame, coded: DataFrame, scratch: Scratch) -> DataFrame:
+    weighed = scratch.put(coded.drop("codes").join(densities(coded, scratch), ["selector_id", "node"]))
+    sizes = weighed.groupBy("selector_id", "cluster").agg(F.count(F.lit(1)).alias("size"), F.sum(1 / F.col("density")).alias("variety"))
+    sizes = sizes.join(asked, "selector_id").withColumn("turn", F.xxhash64(F.lit(SEED), "selector_id", "cluster"))
     quota = sizes.groupBy("selector_id").applyInPandas(_shares, T.StructType([*sizes.schema, T.StructField("quota", T.LongType())]))
     offered = weighed.join(quota.select("selector_id", "cluster", "quota"), ["selector_id", "cluster"])
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "selector_id", "node"), 1) + 1) / F.lit(float(2**63))
@@ -120,3 +142,23 @@ def varied_subset(selectors: DataFrame, requests: DataFrame, existing: DataFrame
     flat_key = F.when(F.col("is_root"), F.lit(-1)).otherwise((F.atan(F.log1p(key)) / F.lit(np.pi / 2) * F.lit(float(2**62))).cast("long"))
     picked = take_smallest(offered.withColumn("draw", key), ["selector_id", "cluster"], flat_key, "quota", ["draw", "node"])
     return picked.select("selector_id", F.col("node").alias("node_id"), "cluster", "is_root", "density")
+
+
+def coverage(selectors: DataFrame, requests: DataFrame, existing: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Per request: chosen, clusters and hash buckets its candidates have, how many of each the subset
+    reaches, and how many a uniform draw of as many candidates (by a hash) reaches."""
+    scratch = Scratch(selectors.sparkSession, "coverage")
+    asked, coded = coded_candidates(selectors, requests, existing, vectors, scratch)
+    chosen = _drawn(asked, coded, scratch).select("selector_id", F.col("node_id").alias("node"), F.lit(True).alias("ours"))
+    random = F.shiftrightunsigned(F.xxhash64(F.lit(SEED + 1), "selector_id", "node"), 1)
+    uniform = take_smallest(coded.select("selector_id", "node").join(asked, "selector_id"), ["selector_id"], random, "nsamples", ["node"])
+    marked = coded.join(chosen, ["selector_id", "node"], "left").join(uniform.select("selector_id", "node", F.lit(True).alias("even")), ["selector_id", "node"], "left")
+    things = F.explode(F.concat("codes", F.array(F.concat(F.lit("cluster "), F.col("cluster")))))
+    hit = marked.select("selector_id", "ours", "even", things.alias("thing")).groupBy("selector_id", "thing").agg(F.max("ours").alias("ours"), F.max("even").alias("even"))
+    is_cluster = F.col("thing").startswith("cluster ")
+    count = lambda c, n: F.count_if(c).alias(n)
+    reach = hit.groupBy("selector_id").agg(
+        count(is_cluster, "clusters"), count(is_cluster & F.col("ours"), "clusters_reached"), count(is_cluster & F.col("even"), "clusters_reached_uniform"),
+        count(~is_cluster, "buckets"), count(~is_cluster & F.col("ours"), "buckets_reached"), count(~is_cluster & F.col("even"), "buckets_reached_uniform"),
+    )
+    return chosen.groupBy("selector_id").agg(F.count(F.lit(1)).alias("chosen")).join(reach, "selector_id")

@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from arborgrid.llm import related
-from arborgrid.plans import Scratch
+from arborgrid.plans import Scratch, skew
 
 
 def union_find(pairs):
@@ -62,3 +62,21 @@ def test_one_key_holds_a_third_and_empty(spark):
     assert (got[got.id % 3 == 0].root == 0).all() and abs((got.split == "a").mean() - 0.5) < 0.03
     none, forest = related.related_split(df.limit(0), "ids", "true_labels", "loaded_at", keys, {"a": 50.0, "b": 50.0})
     assert none.count() == 0 and forest.count() == 0
+
+
+def test_hot_keys_are_cut_and_give_the_same_groups(spark):
+    rng = random.Random(5)
+    rows = [(i, 1, None, None, "7" if i % 2 else str(100 + rng.randrange(400))) for i in range(2000)] + [(i, 1, "a b c", None, None) for i in range(1999, 2100)]
+    df = spark.createDataFrame(rows, "ids long, true_labels int, author string, source string, entity string")
+    keys = {n: f(F.col(n)) for n, f in related.KEYS.items()}
+    scratch = Scratch(spark)
+    plain = related.star_edges(df, "ids", keys, scratch)
+    cut = related.star_edges(df, "ids", keys, scratch, part_rows=20)
+    degree = cut.groupBy("u").count().agg(F.max("count")).first()[0]
+    assert degree < 120 and plain.groupBy("u").count().agg(F.max("count")).first()[0] > 900
+    kept, skew.TASK_ROWS = skew.TASK_ROWS, 50
+    try:
+        a = {r["id"]: r["root"] for r in related.spanning_forest(cut, scratch)[0].collect()}
+    finally:
+        skew.TASK_ROWS = kept
+    assert a == {r["id"]: r["root"] for r in related.spanning_forest(plain, scratch)[0].collect()}
