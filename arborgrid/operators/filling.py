@@ -1,23 +1,27 @@
 """Problem 1: missing values filled from similar records by label propagation.
 
 The graph ties each cell to hubs: one hub for each group or kind of likeness that the cell belongs
-to (its line, its trial, its marker among lines of one subpopulation, its marker among lines with
-the same neighbouring alleles, ...). A hub stands for all edges between its members, so a group of
-n cells costs n edges and never n * n pairs. Each round
+to (its line, its trial, its month, its marker among lines of one subpopulation, its marker among
+lines with the same neighbouring alleles, ...). A hub stands for all edges between its members, so a
+group of n cells costs n edges and never n * n pairs. In the fixpoint
 
 * a hub averages its members: numbers, or distributions over categories; observed members are
-  clamped, so their sums are aggregated once; missing members count with their present estimate;
+  clamped, so their sums are aggregated once; missing members count with their estimate;
 * a missing cell averages its hubs, weighted by kind and by how many members speak: n / (n + 2).
 
-Rounds end when no estimate moves by more than the tolerance, or after a fixed number.
+``propagate`` is the general operator on cells and hubs. A round solves the first hub of each cell
+(the strongest, and the one with the fewest observed members) together with its missing members in
+closed form, for the values that the other hubs have in that round; so the rounds left are few.
+They end when no estimate moves by more than the tolerance, and raise if that doesn't come about.
 
-``propagate`` is the general operator on cells and hubs. ``fill_calls`` uses its quotient form:
-cells that share all hubs have equal estimates, so they are merged into one profile with counts,
-and a marker's profiles (bounded by the numbers of categories, not by rows) converge in one task,
-some thousand profiles of whole markers at a time.
+``fill_calls`` uses the quotient form: cells that share all hubs have equal estimates, so they are
+merged into one profile with counts, and a marker's profiles (bounded by the numbers of categories,
+not by rows) converge in one task, some thousand profiles of whole markers at a time. Cells with
+calls of their own line and marker are profiles by those counts, so that hub is part of the
+fixpoint too.
 
-Defined cases: a cell without any hub that knows a value gets the caller's fallback; null groups
-give no hub; equal shares go to the first category; an empty table gives no fills.
+Defined cases: a cell without any hub that knows a value gets the caller's fallback and is named so;
+null groups give no hub; equal shares go to the first category; an empty table gives no fills.
 """
 
 from __future__ import annotations
@@ -29,52 +33,100 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arborgrid.plans import Scratch, bounded_broadcast
+from arborgrid.plans import Scratch, bounded_broadcast, lookup
 
 HALF = 2.0
-ROUNDS, TOLERANCE = 4, 1e-3
+ROUNDS, TOLERANCE = 100, 1e-3
 #: Lines whose subpopulation is broadcast to the calls; beyond that the join shuffles.
 BROADCAST_LINES = 1_000_000
+#: Hubs (a name, a count and the width's numbers each) that are broadcast to the cells; beyond that joins shuffle.
+BROADCAST_HUBS = 100_000
 ALLELES = 4
 
 
-def propagate(observed: DataFrame, missing: DataFrame, width: int, scratch: Scratch, rounds: int = ROUNDS, tolerance: float = TOLERANCE, scale: str | None = None) -> DataFrame:
+def propagate(
+    observed: DataFrame, missing: DataFrame, width: int, scratch: Scratch, rounds: int = ROUNDS, tolerance: float = TOLERANCE, scale: str | None = None, prior: str | None = None, prior_weight: float = 1.0
+) -> DataFrame:
     """(cell, v0 .. v{width-1}) of the missing cells that some hub reaches.
 
-    ``observed`` has v0 .. v{width-1} and hubs (array<struct<hub string, w double>>), ``missing``
-    has cell and hubs; ``scale`` names a column of ``missing`` that divides moves before they
-    are held against the tolerance. Weights are those of the missing cell's side.
+    ``observed`` has v0 .. v{width-1} and hubs (array<struct<hub string, w double>>, nulls are no
+    hubs), ``missing`` has cell and hubs; ``scale`` names a column of ``missing`` that divides moves
+    before they are held against the tolerance, ``prior`` an array column of a value that a cell
+    knows from elsewhere (null: none), with ``prior_weight``. Weights are those of the missing
+    cell's side. No convergence after ``rounds`` raises RuntimeError.
     """
     v = [f"v{i}" for i in range(width)]
-    known = observed.select(*v, F.explode("hubs").alias("h")).groupBy(F.col("h.hub").alias("hub")).agg(*[F.sum(c).alias(c) for c in v], F.count(F.lit(1)).cast("double").alias("n"))
-    known = scratch.put(known)
-    unit = F.col(scale) if scale else F.lit(1.0)
-    edges = scratch.put(missing.select("cell", unit.alias("unit"), F.explode("hubs").alias("h")).select("cell", "unit", "h.hub", "h.w"))
+    sums = lambda: [F.sum(c).alias(c) for c in [*v, "n"]]
+    named = lambda df: df.where("h.hub IS NOT NULL").select(F.col("h.hub").alias("hub"), *v, F.lit(1.0).alias("n"))
+    known = scratch.put(named(observed.select(*v, F.explode("hubs").alias("h"))).groupBy("hub").agg(*sums()))
+    first = F.get("hubs", F.lit(0))
+    cells = missing.select("cell", (F.col(scale) if scale else F.lit(1.0)).alias("unit"), "hubs", first["hub"].alias("hub"), first["w"].alias("w"), (F.col(prior) if prior else F.lit(None).cast("array<double>")).alias("prior"))
+    cells = scratch.put(cells)
+    total = cells.count()
+    others = scratch.put(cells.select(F.explode(F.slice("hubs", 2, 1000)).alias("h")).where("h.hub IS NOT NULL").select(F.col("h.hub").alias("hub")).distinct())
+    few = others.limit(BROADCAST_HUBS + 1).count() <= BROADCAST_HUBS
+    positions = cells.agg(F.max(F.size("hubs"))).first()[0] or 0
+    known_others = scratch.put(known.join(others, "hub", "left_semi"))
+    # of the first hub: what is observed, and the number of missing members
+    members = cells.where("hub IS NOT NULL").groupBy("hub").agg(F.count(F.lit(1)).cast("double").alias("m0"))
+    base = members.join(known.select("hub", *[F.col(c).alias(f"k_{c}") for c in [*v, "n"]]), "hub", "left")
+    state = lookup(cells, base, "hub", "left", total=total).withColumns({"m0": F.coalesce("m0", F.lit(0.0)), **{f"k_{c}": F.coalesce(f"k_{c}", F.lit(0.0)) for c in [*v, "n"]}, **{c: F.lit(None).cast("double") for c in v}})
+    state = scratch.put(state)
+    mixed = not others.join(members, "hub", "left_semi").isEmpty()  # a hub is the first of one cell and a later one of another
+
+    def averages(which: Column, state: DataFrame) -> DataFrame:
+        guessed = named(state.where(F.col("v0").isNotNull()).select(*v, F.explode(which).alias("h")))
+        guessed = guessed.join(F.broadcast(others) if few else others, "hub", "left_semi") if mixed else guessed
+        hubs = known_others.unionByName(guessed).groupBy("hub").agg(*sums())
+        return F.broadcast(hubs) if few else scratch.put(hubs)
 
-    def average(hubs: DataFrame) -> DataFrame:
-        met = edges.join(hubs, "hub").withColumn("_w", F.col("w") * F.col("n") / (F.col("n") + HALF))
-        return met.groupBy("cell").agg(F.first("unit").alias("unit"), *[(F.sum(F.col("_w") * F.col(c) / F.col("n")) / F.sum("_w")).alias(c) for c in v])
-
-    now = scratch.put(average(known))
     for _ in range(rounds):
-        guessed = edges.select("cell", "hub").join(now, "cell").groupBy("hub").agg(*[F.sum(c).alias(c) for c in v], F.count(F.lit(1)).cast("double").alias("n"))
-        hubs = known.unionByName(guessed).groupBy("hub").agg(*[F.sum(c).alias(c) for c in [*v, "n"]])
-        before = now.select("cell", *[F.col(c).alias(f"_{c}") for c in v])
-        move = F.greatest(*[F.abs(F.col(c) - F.coalesce(F.col(f"_{c}"), F.col(c) + F.col("unit"))) for c in v], F.lit(0.0)) / F.col("unit")
-        nxt = scratch.put(average(hubs).join(before, "cell", "left").withColumn("move", move).drop(*[f"_{c}" for c in v]))
+        later = averages(F.slice("hubs", 2, 1000), state)
+        every = averages(F.col("hubs"), state) if mixed else later
+        t = state.withColumn("_rest", F.when(F.col("prior").isNotNull(), F.lit(prior_weight)).otherwise(0.0))
+        t = t.withColumns({f"_{c}": F.coalesce(F.get("prior", F.lit(i)), F.lit(0.0)) * F.col("_rest") for i, c in enumerate(v)})
+        for p in range(0 if mixed else 1, positions):
+            side = (every if p else later).select(F.col("hub").alias("_hub"), F.col("n").alias("_n"), *[F.col(c).alias(f"_s_{c}") for c in v])
+            t = t.withColumn("_hub", F.get("hubs", F.lit(p))["hub"])
+            t = t.join(side, "_hub", "left") if few else lookup(t, side, "_hub", "left", total=total)
+            if p == 0:  # a first hub that is another cell's later one: what that one's members say
+                t = t.withColumns({f"k_{c}": F.coalesce(F.col(f"_s_{c}" if c != "n" else "_n"), F.col(f"k_{c}")) for c in [*v, "n"]})
+            else:
+                w = F.coalesce(F.get("hubs", F.lit(p))["w"] * F.col("_n") / (F.col("_n") + HALF), F.lit(0.0))
+                t = t.withColumns({f"_{c}": F.col(f"_{c}") + F.coalesce(w * F.col(f"_s_{c}") / F.col("_n"), F.lit(0.0)) for c in v} | {"_rest": F.col("_rest") + w})
+            t = t.drop("_hub", "_n", *[f"_s_{c}" for c in v])
+        n = F.col("k_n") + F.col("m0")
+        t = t.withColumn("_first", F.when(F.col("hub").isNotNull(), F.col("w") * n / (n + HALF)).otherwise(0.0)).withColumn("_all", F.col("_rest") + F.col("_first"))
+        # hub's mean L = (observed + sum of members' estimates) / n, with estimate = (w L + rest) / all
+        solved = t.where("hub IS NOT NULL AND _all > 0").groupBy("hub").agg(F.sum(F.col("_first") / F.col("_all")).alias("_a"), *[F.sum(F.col(f"_{c}") / F.col("_all")).alias(f"_b_{c}") for c in v])
+        t = lookup(t, solved, "hub", "left", total=total)
+        left = n - F.coalesce("_a", F.lit(0.0))
+        there = F.col("hub").isNotNull() & (left > 1e-9)
+        bottom = F.col("_rest") + F.when(there, F.col("_first")).otherwise(0.0)
+        est = {f"_e_{c}": F.when(bottom > 0, (F.col(f"_{c}") + F.when(there, F.col("_first") * (F.col(f"k_{c}") + F.col(f"_b_{c}")) / left).otherwise(0.0)) / bottom) for c in v}
+        moves = [F.when(F.col(f"_e_{c}").isNotNull(), F.abs(F.col(f"_e_{c}") - F.coalesce(F.col(c), F.col(f"_e_{c}") + F.col("unit"))) / F.col("unit")) for c in v]
+        fixed = ["cell", "unit", "hubs", "hub", "w", "prior", "m0"]
+        kept = [F.col(f"k_{c}") for c in [*v, "n"]] if not mixed else []
+        t = t.withColumns(est).withColumn("move", F.greatest(*moves, F.lit(0.0)))
+        out = t.select(*fixed, *kept, *[F.col(f"_e_{c}").alias(c) for c in v], "move")
+        if mixed:  # observed sums are those of the start
+            out = lookup(out, base.drop("m0"), "hub", "left", total=total).withColumns({f"k_{c}": F.coalesce(f"k_{c}", F.lit(0.0)) for c in [*v, "n"]})
+        nxt = scratch.put(out)
         far = nxt.agg(F.max("move")).first()[0]
-        scratch.drop(now)
-        now = nxt
+        scratch.drop(state)
+        state = nxt
         if far is None or far <= tolerance:
-            break
-    return now.select("cell", *v)
+            return state.where(F.col("v0").isNotNull()).select("cell", *v)
+    raise RuntimeError(f"estimates still move by {far} after {rounds} rounds")
 
 
-def quotient_propagation(levels: Sequence[tuple[Sequence[str], float]], width: int, rounds: int = 50, tolerance: float = 1e-4):
+def quotient_propagation(levels: Sequence[tuple[Sequence[str], float]], width: int, prior: Sequence[float] | None = None, own_weight: float = 0.0, prior_weight: float = 0.001, rounds: int = 5000, tolerance: float = 1e-4):
     """Grouped-map function: estimates of the profiles of one or more components.
 
-    Rows have the level columns, observed counts c0 .. c{width-1} and ``m`` missing cells; the
-    result adds p0 .. p{width-1}, null where no level knows a value.
+    Rows have the level columns, observed counts c0 .. c{width-1}, ``m`` missing cells, and, with
+    ``own_weight``, counts o0 .. of the hub that a profile's missing cells have for themselves; the
+    result adds p0 .. p{width-1}, null where no level knows a value. ``prior`` is the mean of a hub
+    that all cells share.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -83,13 +135,22 @@ def quotient_propagation(levels: Sequence[tuple[Sequence[str], float]], width: i
         groups = []
         for cols, w in levels:
             key = pdf.groupby(list(cols), dropna=False, sort=False).ngroup().to_numpy() if cols else np.zeros(len(pdf), dtype=int)
-            base = np.zeros((key.max() + 1, width))
+            base = np.zeros((key.max(initial=-1) + 1, width))
             np.add.at(base, key, counts)
             groups.append((key, base, w))
+        top0, bottom0 = np.zeros_like(counts), np.zeros(len(pdf))
+        if own_weight:
+            own = pdf[[f"o{i}" for i in range(width)]].to_numpy(float)
+            n = own.sum(1)
+            bottom0 = own_weight * n / (n + HALF)
+            top0 = own / np.maximum(n, 1e-12)[:, None] * bottom0[:, None]
+        if prior is not None:
+            top0, bottom0 = top0 + prior_weight * np.asarray(prior, float), bottom0 + prior_weight
         est = np.zeros_like(counts)
         spoken = np.zeros(len(pdf), dtype=bool)
+        far = 0.0
         for _ in range(rounds):
-            top, bottom = np.zeros_like(counts), np.zeros(len(pdf))
+            top, bottom = top0.copy(), bottom0.copy()
             for key, base, w in groups:
                 s = base.copy()
                 np.add.at(s, key, est * m)
@@ -104,6 +165,8 @@ def quotient_propagation(levels: Sequence[tuple[Sequence[str], float]], width: i
             est = new
             if far <= tolerance:
                 break
+        else:
+            raise RuntimeError(f"estimates still move by {far} after {rounds} rounds")
         est[~spoken] = np.nan
         return pdf.assign(**{f"p{i}": est[:, i] for i in range(width)})
 
@@ -168,35 +231,39 @@ OWN_WEIGHT = 50.0
 
 
 def call_profiles(calls: Calls) -> DataFrame:
-    """Counts of each marker's profiles (subpopulation, alleles of the line's neighbouring markers)."""
+    """Counts of each marker's profiles: subpopulation, alleles of the line's neighbouring markers, and
+    the calls that a line with missing calls has itself at the marker (o0 ..)."""
     c = [f"c{i}" for i in range(ALLELES)]
-    return calls.cells.groupBy("mk", "sp", "la", "ra").agg(*[F.sum(x).alias(x) for x in c], F.sum("m").alias("m"))
+    own = [F.when(F.col("m") > 0, F.col(x)).otherwise(0).alias(f"o{i}") for i, x in enumerate(c)]
+    return calls.cells.select("mk", "sp", "la", "ra", *own, *c, "m").groupBy("mk", "sp", "la", "ra", *[f"o{i}" for i in range(ALLELES)]).agg(*[F.sum(x).alias(x) for x in c], F.sum("m").alias("m"))
 
 
 def fill_calls(calls: Calls, profiles: DataFrame) -> DataFrame:
-    """(call_id, allele, share): a fill for every call without an allele.
+    """(call_id, allele, share, how): a fill for every call without an allele.
 
     Hubs: calls of the same line and marker; lines of the same subpopulation and the same alleles
     on both sides; lines of the same alleles on both sides; lines of the same subpopulation; all
-    lines at the marker. Fallback where a marker was never read: 0 with share 0.
+    lines at the marker; all calls (observed ones only). Fallback where no call at all has an
+    allele: 0 with share 0.
     """
-    c, p = [f"c{i}" for i in range(ALLELES)], [f"p{i}" for i in range(ALLELES)]
-    schema = ", ".join(["mk long", "sp int", "la byte", "ra byte", *[f"{x} long" for x in c], "m long", *[f"{x} double" for x in p]])
+    c, p, o = ([f"{x}{i}" for i in range(ALLELES)] for x in "cpo")
+    schema = ", ".join(["mk long", "sp int", "la byte", "ra byte", *[f"{x} long" for x in [*o, *c]], "m long", *[f"{x} double" for x in p]])
+    seen = profiles.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in c]).first()
+    every = sum(seen[x] for x in c)
     # whole markers go to a task, several at once: each level holds its marker
-    tasks = max(8, -(-profiles.count() // PROFILE_ROWS))
+    tasks = max(8, -(-seen["n"] // PROFILE_ROWS))
     dealt = profiles.withColumn("_task", F.pmod(F.xxhash64("mk"), F.lit(tasks)).cast("int"))
-    solve = quotient_propagation(CALL_LEVELS, ALLELES)
-    solved = dealt.groupBy("_task").applyInPandas(lambda pdf: solve(pdf.drop(columns="_task")), schema).select("mk", "sp", "la", "ra", *p)
-    lost = calls.calls.where("code < 0").select("call_id", "mk", "ln", F.coalesce("chromosome", F.lit(-1)).alias("ch"))
-    own = calls.cells.where("m > 0").select("mk", "ln", F.coalesce("chromosome", F.lit(-1)).alias("ch"), "sp", "la", "ra", *c)
-    met = lost.join(own, ["mk", "ln", "ch"]).join(solved, ["mk", "sp", "la", "ra"], "left")
-    n = sum((F.col(x) for x in c), F.lit(0)).cast("double")
-    weight = F.lit(OWN_WEIGHT) * n / (n + HALF)
-    rest = F.lit(sum(w for _, w in CALL_LEVELS))
-    mixed = [((F.col(x) / F.greatest(n, F.lit(1.0)) * weight + F.coalesce(F.when(~F.isnan(y), F.col(y)), F.lit(0.0)) * rest) / (weight + rest)).alias(y) for x, y in zip(c, p)]
-    est = met.select("call_id", *mixed)
-    best = est.select("call_id", F.coalesce(first_largest(p), F.lit(0)).cast("string").alias("allele"), F.greatest(*p).alias("share"))
-    return best.groupBy("call_id").agg(F.min(F.struct("allele", "share")).alias("f")).select("call_id", "f.*")
+    solve = quotient_propagation(CALL_LEVELS, ALLELES, [seen[x] / every for x in c] if every else None, OWN_WEIGHT)
+    solved = dealt.groupBy("_task").applyInPandas(lambda pdf: solve(pdf.drop(columns="_task")), schema).where("m > 0").select("mk", "sp", "la", "ra", *o, *p)
+    chromosome = F.coalesce("chromosome", F.lit(-1)).alias("ch")
+    own = calls.cells.where("m > 0").select("mk", "ln", chromosome, "sp", "la", "ra", *[F.col(x).alias(y) for x, y in zip(c, o)])
+    known = [F.when(~F.isnan(x), F.col(x)).alias(x) for x in p]
+    filled = own.join(solved, ["mk", "sp", "la", "ra", *o]).select("mk", "ln", "ch", *known)
+    found = F.greatest(*p) > 0
+    allele = F.when(found, first_largest(p)).otherwise(0).cast("string").alias("allele")
+    filled = filled.select("mk", "ln", "ch", F.struct(allele, F.when(found, F.greatest(*p)).otherwise(0.0).alias("share"), F.when(found, "propagated").otherwise("fallback").alias("how")).alias("f"))
+    lost = calls.calls.where("code < 0").select("call_id", "mk", "ln", chromosome)
+    return lost.join(filled, ["mk", "ln", "ch"]).groupBy("call_id").agg(F.min("f").alias("f")).select("call_id", "f.*")
 
 
 def latest_individuals(indiv: DataFrame) -> DataFrame:
@@ -215,48 +282,48 @@ def _hub(kind: str, w: float, *parts: Column) -> Column:
 
 
 def fill_traits(people: DataFrame, traits: Sequence[tuple[int, float, float]], scratch: Scratch) -> DataFrame:
-    """(indiv_id, trait_no, value): a fill for every trait (number, least, most) that a list lacks.
+    """(indiv_id, trait_no, value, how): a fill for every trait (number, least, most) that a list lacks.
 
-    ``people`` has indiv_id, lineid, trial, traitvalue and sp. Hubs of a trait: the line's other
-    trials; the subpopulation within the trial; the trial; the subpopulation; all. Fallback: the
-    middle of the trait's range.
+    ``people`` has indiv_id, lineid, trial, month, traitvalue and sp. Hubs of a trait: the line's
+    other trials; the subpopulation within the trial; the trial; the subpopulation; the month of
+    measuring; all. Fallback: the middle of the trait's range.
     """
     t = F.explode(F.array(*[F.struct(F.lit(int(k)).alias("trait_no"), F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi")) for k, lo, hi in traits]))
-    cells = people.select("indiv_id", "lineid", "trial", "sp", "traitvalue", t.alias("t")).select("*", "t.*")
+    cells = people.select("indiv_id", "lineid", "trial", "month", "sp", "traitvalue", t.alias("t")).select("*", "t.*")
     value = F.get("traitvalue", F.col("trait_no") - 1).cast("double")
     sound = F.when(value.isNotNull() & ~F.isnan(value) & value.between(F.col("lo"), F.col("hi")), value)
     k = F.col("trait_no")
     sp = F.when(F.col("sp") >= 0, F.col("sp"))
-    hubs = F.array_compact(F.array(_hub("l", 8.0, k, F.col("lineid")), _hub("ts", 1.5, k, F.col("trial"), sp), _hub("t", 1.0, k, F.col("trial")), _hub("s", 1.0, k, sp), _hub("g", 0.01, k)))
+    hubs = F.array(_hub("l", 8.0, k, F.col("lineid")), _hub("ts", 1.5, k, F.col("trial"), sp), _hub("t", 1.0, k, F.col("trial")), _hub("s", 1.0, k, sp), _hub("m", 0.2, k, F.col("month")), _hub("g", 0.01, k))
     cells = scratch.put(cells.select("indiv_id", "trait_no", "lo", "hi", sound.alias("v0"), hubs.alias("hubs")))
-    gaps = cells.where("v0 IS NULL").withColumn("cell", F.struct("indiv_id", "trait_no")).withColumn("span", F.col("hi") - F.col("lo"))
+    gaps = cells.where("v0 IS NULL").withColumn("cell", F.struct("indiv_id", "trait_no")).withColumn("span", F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-9)))
     est = propagate(cells.where("v0 IS NOT NULL"), gaps, 1, scratch, scale="span")
     middle = gaps.select("cell", "indiv_id", "trait_no", ((F.col("lo") + F.col("hi")) / 2).alias("mid"))
-    return middle.join(est, "cell", "left").select("indiv_id", "trait_no", F.coalesce("v0", "mid").alias("value"))
+    how = F.when(F.col("v0").isNotNull(), "propagated").otherwise("fallback").alias("how")
+    return middle.join(est, "cell", "left").select("indiv_id", "trait_no", F.coalesce("v0", "mid").alias("value"), how)
 
 
 def fill_subpops(people: DataFrame, names: Sequence[str], default: int, genotype: DataFrame, scratch: Scratch) -> DataFrame:
-    """(indiv_id, subpop, share): a fill for every individual whose subpopulation is not known.
+    """(indiv_id, subpop, share, how): a fill for every individual whose subpopulation is not known.
 
     ``people`` has indiv_id, lineid, trial, label and own (code or null); ``genotype`` has ln and
-    g0 .. : what the line's alleles say. Hubs: the line; the label within the trial; all.
+    g0 .. : what the alleles of a line without a known subpopulation say, a hub of observed members
+    only. Hubs: the line; its alleles; the label within the trial; all.
     """
     width = len(names)
     v = [f"v{i}" for i in range(width)]
     label = F.when(F.col("label") > 0, F.col("label"))
-    hubs = F.array_compact(F.array(_hub("l", 20.0, F.col("lineid")), _hub("lt", 0.5, label, F.col("trial")), _hub("g", 0.01)))
-    cells = scratch.put(people.select("indiv_id", "lineid", "own", hubs.alias("hubs")))
+    hubs = F.array(_hub("l", 20.0, F.col("lineid")), _hub("lt", 0.5, label, F.col("trial")), _hub("g", 0.01, F.lit(0)))
+    cells = scratch.put(people.select("indiv_id", F.xxhash64("lineid").alias("ln"), "own", hubs.alias("hubs")))
     seen = cells.where("own IS NOT NULL").select("hubs", *[F.when(F.col("own") == i, 1.0).otherwise(0.0).alias(f"v{i}") for i in range(width)])
-    gaps = cells.where("own IS NULL")
-    est = propagate(seen, gaps.select(F.col("indiv_id").alias("cell"), "hubs"), width, scratch)
-    line = seen.select(F.explode("hubs").alias("h")).where(F.col("h.hub").startswith("l|")).select(F.col("h.hub").alias("hub")).distinct().withColumn("has_line", F.lit(True))
-    met = gaps.select("indiv_id", F.xxhash64("lineid").alias("ln"), F.concat_ws("|", F.lit("l"), "lineid").alias("hub")).join(est, F.col("indiv_id") == F.col("cell"), "left")
-    met = met.join(line, "hub", "left").join(genotype, "ln", "left")
-    # where the line itself is unknown, its alleles weigh four times the rest
-    g = F.when(F.col("has_line").isNull() & F.col("g0").isNotNull(), F.lit(4.0)).otherwise(F.lit(0.0))
-    mixed = met.select("indiv_id", *[((F.coalesce(F.col(x), F.lit(0.0)) + g * F.coalesce(F.col(f"g{i}"), F.lit(0.0))) / (1.0 + g)).alias(x) for i, x in enumerate(v)])
-    code = F.when(F.greatest(*v, F.lit(0.0)) > 0, first_largest(v)).otherwise(F.lit(default))
-    return mixed.select("indiv_id", F.get(F.array(*[F.lit(n) for n in names]), code).alias("subpop"), F.greatest(*v).alias("share"))
+    gaps = cells.where("own IS NULL").select(F.col("indiv_id").alias("cell"), "hubs", "ln")
+    said = genotype.select("ln", F.array(*[F.col(f"g{i}") for i in range(width)]).alias("said"))
+    est = propagate(seen, lookup(gaps, said, "ln", "left", total=people.count()), width, scratch, prior="said", prior_weight=4.0)
+    met = gaps.select("cell").join(est, "cell", "left")
+    found = F.coalesce(F.greatest(*v) > 0, F.lit(False))
+    code = F.when(found, first_largest(v)).otherwise(F.lit(default))
+    name = F.get(F.array(*[F.lit(n) for n in names]), code).alias("subpop")
+    return met.select(F.col("cell").alias("indiv_id"), name, F.when(found, F.greatest(*v)).otherwise(0.0).alias("share"), F.when(found, "propagated").otherwise("fallback").alias("how"))
 
 
 def genotype_subpops(calls: Calls, profiles: DataFrame, width: int) -> DataFrame:
@@ -271,12 +338,24 @@ def genotype_subpops(calls: Calls, profiles: DataFrame, width: int) -> DataFrame
     return calls.cells.where("sp < 0 AND mode >= 0").select("ln", "mk", "mode").join(wide, ["mk", "mode"]).groupBy("ln").agg(*[F.avg(f"g{i}").alias(f"g{i}") for i in range(width)])
 
 
+def _few(table: DataFrame, most: int) -> list:
+    """Rows of a table that is small by its meaning; more than ``most`` raise."""
+    rows = table.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
+    return rows
+
+
 def fill_project(snps: DataFrame, indiv: DataFrame, pheno: DataFrame, subpops: DataFrame) -> DataFrame:
-    """(tbl, row_id, field, item, value_text, value_number, share): one row a filled cell."""
+    """(tbl, row_id, field, item, value_text, value_number, share, how): one row a filled cell.
+
+    ``share`` is the weight of the chosen category; ``how`` is propagated, or fallback where no hub
+    knows a value.
+    """
     scratch = Scratch(snps.sparkSession, "filling")
     # two fixed tables: 6 and 7 rows
-    traits = [(r["trait_no"], r["min_value"], r["max_value"]) for r in pheno.where("trait_no >= 1").orderBy("trait_no").limit(10_000).collect()]
-    known = subpops.where("subpop IS NOT NULL").orderBy("subpop").limit(1_000).collect()
+    traits = [(r["trait_no"], r["min_value"], r["max_value"]) for r in _few(pheno.where("trait_no >= 1").orderBy("trait_no"), 10_000)]
+    known = _few(subpops.where("subpop IS NOT NULL").orderBy("subpop"), 1_000)
     names = [r["subpop"].strip() for r in known]
     default = max(range(len(known)), key=lambda i: (known[i]["n_founders"] or 0, -i)) if known else 0
 
@@ -284,18 +363,20 @@ def fill_project(snps: DataFrame, indiv: DataFrame, pheno: DataFrame, subpops: D
     line_sp = scratch.put(line_subpops(people, names))
     calls = Calls(snps, line_sp, scratch)
     profiles = scratch.put(call_profiles(calls))
-    alleles = fill_calls(calls, profiles)
-    out = alleles.select(F.lit("ift_snps").alias("tbl"), F.col("call_id").alias("row_id"), F.lit("allele").alias("field"), F.lit(0).alias("item"), F.col("allele").alias("value_text"), F.lit(None).cast("double").alias("value_number"), "share")
+    text, number = F.lit(None).cast("string"), F.lit(None).cast("double")
+
+    def rows(df: DataFrame, tbl: str, row_id: str, field: str, item: Column, value_text: Column, value_number: Column, share: Column) -> DataFrame:
+        return df.select(F.lit(tbl).alias("tbl"), F.col(row_id).alias("row_id"), F.lit(field).alias("field"), item.cast("int").alias("item"), value_text.alias("value_text"), value_number.alias("value_number"), share.alias("share"), "how")
 
+    out = rows(fill_calls(calls, profiles), "ift_snps", "call_id", "allele", F.lit(0), F.col("allele"), number, F.col("share"))
     spelled = F.upper(F.regexp_replace("subpop", r"(?U)^\s+|\s+$", ""))
     own = F.nullif(F.array_position(F.array(*[F.lit(n.upper()) for n in names]), spelled).cast("int"), F.lit(0)) - 1
-    coded = people.withColumn("own", own).withColumn("ln", F.xxhash64("lineid")).join(line_sp, "ln", "left")
-    coded = coded.withColumn("sp", F.coalesce("own", "sp", F.lit(-1)))
+    month = F.date_format("measured_at", "yyyy-MM") if "measured_at" in people.columns else text
+    coded = lookup(people.withColumn("own", own).withColumn("ln", F.xxhash64("lineid")), line_sp, "ln", "left", total=people.count())
+    coded = coded.withColumn("sp", F.coalesce("own", "sp", F.lit(-1))).withColumn("month", month)
     if traits:
-        filled = fill_traits(coded, traits, scratch)
-        out = out.unionByName(filled.select(F.lit("ift_indiv").alias("tbl"), F.col("indiv_id").alias("row_id"), F.lit("traitvalue").alias("field"), F.col("trait_no").cast("int").alias("item"), F.lit(None).cast("string").alias("value_text"), F.col("value").alias("value_number"), F.lit(None).cast("double").alias("share")))
+        out = out.unionByName(rows(fill_traits(coded, traits, scratch), "ift_indiv", "indiv_id", "traitvalue", F.col("trait_no"), text, F.col("value"), number))
     if names:
         genotype = scratch.put(genotype_subpops(calls, profiles, len(names)))
-        filled = fill_subpops(coded, names, default, genotype, scratch)
-        out = out.unionByName(filled.select(F.lit("ift_indiv").alias("tbl"), F.col("indiv_id").alias("row_id"), F.lit("subpop").alias("field"), F.lit(0).alias("item"), F.col("subpop").alias("value_text"), F.lit(None).cast("double").alias("value_number"), "share"))
+        out = out.unionByName(rows(fill_subpops(coded, names, default, genotype, scratch), "ift_indiv", "indiv_id", "subpop", F.lit(0), F.col("subpop"), number, F.col("share")))
     return out

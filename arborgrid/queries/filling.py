@@ -33,9 +33,8 @@ def p1_fills(spark, folder):
     """.replace("\\\\", "\\"),
 )
 def p1_found(spark, folder):
-    """The cells that were missing and have come out filled."""
-    full = F.col("value_text").isNotNull() | F.col("value_number").isNotNull()
-    return _fills(spark, folder).where(full).select("tbl", "row_id", "field", "item")
+    """The cells that were missing and have come out filled by propagation."""
+    return _fills(spark, folder).where("how = 'propagated'").select("tbl", "row_id", "field", "item")
 
 
 @query("p1_snps")

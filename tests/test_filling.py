@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from arborgrid.operators import filling
@@ -55,7 +56,7 @@ def test_dirty_rows(spark):
     want += [("ift_indiv", i, "traitvalue", k) for i in (1, 2, 3) for k in (1, 2)] + [("ift_indiv", 4, "traitvalue", 2)]
     assert cells == sorted(want)
     value = {(r.row_id, r.field, r.item): r.value_text or r.value_number for r in got.itertuples()}
-    assert value[(3, "allele", 0)] == "3" and value[(1, "allele", 0)] == "0"
+    assert value[(3, "allele", 0)] == "3" and value[(1, "allele", 0)] == "3"  # a marker never read: the commonest allele of all calls
     assert value[(2, "subpop", 0)] == "BBB" and abs(value[(2, "traitvalue", 1)] - 100) < 1e-6 and value[(4, "traitvalue", 2)] == 15.0
 
 
@@ -72,6 +73,44 @@ def test_propagation_passes_values_on(spark):
     assert got == {"c1": 8.0, "c2": 8.0}
 
 
+def test_propagation_is_the_fixpoint_of_all_hubs(spark):
+    """Against plain iteration: line hubs first, trials, a prior, cells without a first hub, and a first
+    hub that is another cell's later one."""
+    rng = random.Random(3)
+    hub = "array<struct<hub:string,w:double>>"
+    edge = lambda i: [(f"l{i % 17}", 8.0) if i % 11 else None, (f"t{i % 5}", 1.0), ("g", 0.01)] if i % 13 else [(f"t{i % 5}", 1.0), (f"l{i % 17}", 2.0)]
+    seen, gaps = [], []
+    for i in range(400):
+        (gaps if rng.random() < 0.4 else seen).append((i, edge(i), rng.uniform(0, 9), [rng.uniform(0, 9)] if i % 29 == 0 else None))
+    known, est = {}, {}
+    for _, hubs, x, _ in seen:
+        for h in filter(None, hubs):
+            s, n = known.get(h[0], (0.0, 0))
+            known[h[0]] = (s + x, n + 1)
+    for _ in range(3000):
+        now = dict(known)
+        for i, hubs, _, _ in gaps:
+            if i in est:
+                for h in filter(None, hubs):
+                    s, n = now.get(h[0], (0.0, 0))
+                    now[h[0]] = (s + est[i], n + 1)
+        for i, hubs, _, prior in gaps:
+            parts = [(w * now[h][1] / (now[h][1] + 2), now[h][0] / now[h][1]) for h, w in filter(None, hubs) if h in now] + ([(3.0, prior[0])] if prior else [])
+            est[i] = sum(w * x for w, x in parts) / sum(w for w, _ in parts)
+    a = spark.createDataFrame([(x, h) for _, h, x, _ in seen], f"v0 double, hubs {hub}")
+    b = spark.createDataFrame([(i, h, p) for i, h, _, p in gaps], f"cell int, hubs {hub}, p array<double>")
+    got = {r["cell"]: r["v0"] for r in filling.propagate(a, b, 1, Scratch(spark), tolerance=1e-7, prior="p", prior_weight=3.0).collect()}
+    assert set(got) == {g[0] for g in gaps} and max(abs(got[i] - est[i]) for i in got) < 1e-5
+
+
+def test_no_convergence_raises(spark):
+    hub = "array<struct<hub:string,w:double>>"
+    seen = spark.createDataFrame([(8.0, [None, ("a", 1.0)])], f"v0 double, hubs {hub}")
+    gaps = spark.createDataFrame([("c1", [None, ("a", 1.0), ("b", 1.0)]), ("c2", [None, ("b", 1.0)])], f"cell string, hubs {hub}")
+    with pytest.raises(RuntimeError):
+        filling.propagate(seen, gaps, 1, Scratch(spark), rounds=1)
+
+
 def test_allele_codes(spark):
     texts = ["0", " 1", "2 ", "\t3\n", " 1 ", "4", "", " ", "01", "1 2", "-1", "nan", None]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(filling.allele_code(F.col("t"))).collect()]
