@@ -6,16 +6,14 @@ JVM and are the faster way from Python.
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 
-@F.pandas_udf("double")
-def vector_l2(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Euclidean distance; null where a side is null or the lengths differ."""
-    return pd.Series([None if x is None or y is None or len(x) != len(y) else float(np.sqrt(((np.asarray(x, float) - np.asarray(y, float)) ** 2).sum())) for x, y in zip(a, b)], dtype="float64")
+#: Euclidean distance of two vectors in SQL; null where a side is null or the lengths differ.
+VECTOR_L2 = """CREATE OR REPLACE TEMPORARY FUNCTION vector_l2(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE
+RETURN CASE WHEN size(a) = size(b) THEN sqrt(aggregate(zip_with(a, b, (x, y) -> (x - y) * (x - y)), 0.0D, (s, d) -> s + d)) END"""
 
 
 @F.pandas_udf("double")
@@ -37,5 +35,5 @@ class GridSampler:
 
 
 def register(spark: SparkSession) -> None:
-    spark.udf.register("vector_l2", vector_l2)
+    spark.sql(VECTOR_L2)
     spark.udtf.register("grid_sampler", GridSampler)

@@ -57,12 +57,27 @@ def assign(df: DataFrame, vec_col: str, centres: Sequence[Sequence[float]]) -> D
     return rows.withColumn("cluster", F.col("_n.cluster")).withColumn("dist", F.col("_n.dist")).drop("_n")
 
 
-def _means(assigned: DataFrame, vec_col: str, k: int, dim: int) -> dict[int, list[float]]:
-    """Mean vector a cluster: at most k x dim numbers reach the driver."""
-    sums = assigned.select("cluster", F.posexplode(vec_col).alias("p", "v")).groupBy("cluster", "p").agg(F.avg(F.col("v").cast("double")).alias("m"))
+def _means(df: DataFrame, vec_col: str, centres: Sequence[Sequence[float]]) -> dict[int, list[float]]:
+    """Mean vector of each centre's nearest samples. Batches are summed where they are read; at most
+    k x dim numbers reach the driver."""
+    c = np.asarray(centres, dtype=float)
+
+    def sums(batches):
+        n, s = np.zeros(len(c)), np.zeros_like(c)
+        for pdf in batches:
+            if len(pdf):
+                x = np.stack(pdf["v"].to_numpy()).astype(float)
+                lab = np.stack([((x - row) ** 2).sum(1) for row in c], 1).argmin(1)
+                n += np.bincount(lab, minlength=len(c))
+                np.add.at(s, lab, x)
+        some = np.flatnonzero(n)
+        yield pd.DataFrame({"cluster": some.astype("int32") + 1, "n": n[some], "s": list(s[some])})
+
+    rows = df.where(F.col(vec_col).isNotNull()).select(F.col(vec_col).cast("array<double>").alias("v"))
+    parts = rows.mapInPandas(sums, "cluster int, n double, s array<double>").select("cluster", "n", F.posexplode("s").alias("p", "v"))
     out: dict[int, list[float]] = {}
-    for r in sums.collect():
-        out.setdefault(r["cluster"], [0.0] * dim)[r["p"]] = r["m"]
+    for r in parts.groupBy("cluster", "p").agg((F.sum("v") / F.sum("n")).alias("m")).collect():
+        out.setdefault(r["cluster"], [0.0] * c.shape[1])[r["p"]] = r["m"]
     return out
 
 
@@ -73,7 +88,9 @@ def kmeans(df: DataFrame, id_col: str, vec_col: str, k: int, max_iter: int = 100
     """
     centres = [list(c) for c in initial] if initial is not None else first_samples(df, id_col, vec_col, k)
     for _ in range(max_iter):
-        means = _means(assign(df, vec_col, centres), vec_col, k, len(centres[0]))
+        if len(centres) > MAX_CENTRES:
+            raise ValueError(f"more than {MAX_CENTRES} centres")
+        means = _means(df, vec_col, centres)
         new = [means.get(i + 1, c) for i, c in enumerate(centres)]
         if spherical:
             new = [list(np.asarray(c) / (np.linalg.norm(c) or 1.0)) for c in new]
@@ -282,9 +299,13 @@ def cluster_by_density(df: DataFrame, id_col: str, vec_col: str, k: int, scratch
 
 def pca(df: DataFrame, vec_col: str, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(mean, components, variances) from the covariance (dim x dim numbers reach the driver). Signs:
-    the largest element of a component is positive."""
-    dim = df.select(F.max(F.size(vec_col))).first()[0] or 0
-    x = df.where(F.size(vec_col) == dim).select(F.col(vec_col).cast("array<double>").alias("v"))
+    the largest element of a component is positive. Vectors of several lengths raise ValueError."""
+    df = df.where(F.col(vec_col).isNotNull())
+    least, dim = df.select(F.min(F.size(vec_col)), F.max(F.size(vec_col))).first()
+    if least != dim:
+        raise ValueError("vectors of more than one length")
+    dim = dim or 0
+    x = df.select(F.col(vec_col).cast("array<double>").alias("v"))
 
     def partial(batches):
         n, s, c = 0, np.zeros(dim), np.zeros((dim, dim))

@@ -1,8 +1,9 @@
 """Convolutional features learned from markers, forward passes and adaptive decoders.
 
 Training looks at marker pixels only: patches about them are clustered per marker, then per layer,
-and the centroids become kernels. That set is bounded by the markers people draw; the most
-patches that reach the learning step is a parameter. Inference runs image by image in numpy.
+and the centroids become kernels. Up to a counted bound of centroids the last clustering runs at
+the driver, beyond it on the cluster; all centroids are used either way. Inference runs image by
+image in numpy.
 
 Pixels: image_id, x, y and bands (array<double>); markers: image_id, x, y, marker, label.
 """
@@ -17,7 +18,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arborgrid.operators import learning
+from arborgrid.plans import Scratch
+
 SEED = 3425
+#: Centroids that are clustered at the driver.
 MAX_PATCHES = 200_000
 
 
@@ -105,6 +110,7 @@ def apply_layer(a: np.ndarray, layer: Layer) -> np.ndarray:
 def fit(pixels: DataFrame, markers: DataFrame, layers: Sequence[Layer], stdev_factor: float = 0.01, max_patches: int = MAX_PATCHES) -> list[Layer]:
     """Learn the kernels layer by layer. Marked images only are read; each layer's patches are
     clustered per image and marker on the cluster, then the centroids (kernels a marker) together."""
+    scratch = Scratch(pixels.sparkSession, "markers")
     joined = pixels.join(markers.select("image_id").distinct(), "image_id", "left_semi")
     done: list[Layer] = []
     for layer in layers:
@@ -116,8 +122,13 @@ def fit(pixels: DataFrame, markers: DataFrame, layers: Sequence[Layer], stdev_fa
         n = m["n"].sum()
         mean = np.sum(np.stack(m["s"].to_numpy()), 0) / n
         std = np.sqrt(np.maximum(np.sum(np.stack(m["q"].to_numpy()), 0) / n - mean**2, 0)) + stdev_factor
-        c = groups.applyInPandas(_candidates(list(done), layer, mean, std), "c array<double>").orderBy("c").limit(max_patches).toPandas()
-        kernels = unit_kernels(kmeans(np.stack(c["c"].to_numpy()), layer.out_channels))
+        c = scratch.put(groups.applyInPandas(_candidates(list(done), layer, mean, std), "image_id long, marker long, patch int, c array<double>"))
+        if c.count() <= max_patches:
+            centres = kmeans(np.stack(c.orderBy("image_id", "marker", "patch").toPandas()["c"].to_numpy()), layer.out_channels)
+        else:
+            first = c.orderBy(F.xxhash64(F.lit(SEED), "image_id", "marker", "patch"), "image_id", "marker", "patch").limit(layer.out_channels).collect()
+            centres = np.asarray(learning.kmeans(c, "patch", "c", layer.out_channels, initial=[r["c"] for r in first])[1])
+        kernels = unit_kernels(centres)
         done = [*done, Layer(layer.kernel_size, layer.dilation, layer.kernels_per_marker, len(kernels), layer.pool_size, layer.pool_stride, layer.pool_type, kernels, mean, std)]
     return done
 
@@ -146,14 +157,15 @@ def _moments(before: Sequence[Layer]):
 def _candidates(before: Sequence[Layer], layer: Layer, mean: np.ndarray, std: np.ndarray):
     def run(px: pd.DataFrame, mk: pd.DataFrame) -> pd.DataFrame:
         if len(px) == 0 or len(mk) == 0:
-            return pd.DataFrame({"c": []})
+            return pd.DataFrame({"image_id": [], "marker": [], "patch": [], "c": []}).astype({"image_id": "int64", "marker": "int64", "patch": "int32"})
         a, y, x = _features(px, mk, before)
         a = (a - mean) / std
-        out: list[np.ndarray] = []
+        out = []
         for k in np.unique(mk["marker"].to_numpy()):
             rows = np.flatnonzero(mk["marker"].to_numpy() == k)
-            out += list(kmeans(patches_of(a, y[rows], x[rows], layer.kernel_size, layer.dilation), layer.kernels_per_marker))
-        return pd.DataFrame({"c": [c.tolist() for c in out]})
+            centres = kmeans(patches_of(a, y[rows], x[rows], layer.kernel_size, layer.dilation), layer.kernels_per_marker)
+            out += [(px["image_id"].iloc[0], int(k), i, c.tolist()) for i, c in enumerate(centres)]
+        return pd.DataFrame(out, columns=["image_id", "marker", "patch", "c"])
 
     return run
 

@@ -36,6 +36,47 @@ def pairwise(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _closest(x: np.ndarray, y: np.ndarray, ids: np.ndarray, k: int, cost: np.ndarray | None, barred) -> tuple[np.ndarray, np.ndarray]:
+    """Places and distances (or costs) of the k best of ``y`` for each row of ``x``, by distance then id.
+
+    Products of matrices choose candidates; their distances are then taken from exact differences. All
+    that lie within rounding of the last candidate are kept, so the choice is exact.
+    """
+    centre = y.mean(0)
+    xc, yc = x - centre, y - centre
+    nx, ny = (xc * xc).sum(1), (yc * yc).sum(1)
+    c2 = None if cost is None else np.where(cost > 0, cost, 0.0) ** 2
+    places, dist = np.zeros((len(x), k), dtype=np.int64), np.full((len(x), k), np.inf)
+    step = max(1, 4_000_000 // max(1, len(y)))
+    for at in range(0, len(x), step):
+        rows = slice(at, at + step)
+        d = np.maximum(nx[rows, None] + ny[None] - 2 * (xc[rows] @ yc.T), 0.0)
+        d = d if c2 is None else np.maximum(d, c2[None])
+        no = barred(rows)
+        if no is not None:
+            d[no] = np.inf
+        slack = 1e-10 * (nx[rows] + ny.max(initial=0.0) + 1e-300)
+        some = min(2 * k + 8, len(y))
+        near = np.argpartition(d, some - 1, axis=1)[:, :some] if some < len(y) else np.broadcast_to(np.arange(len(y)), d.shape)
+        values = np.take_along_axis(d, near, 1)
+        if some < len(y):
+            kth = np.partition(values, min(k, some) - 1, axis=1)[:, min(k, some) - 1]
+            tight = np.isfinite(kth) & (values.max(1) <= kth + slack)
+        else:
+            tight = np.zeros(len(d), dtype=bool)
+        for group, cand in ((~tight, near[~tight]), *[(np.arange(len(d)) == r, np.flatnonzero(d[r] <= kth[r] + slack[r])[None]) for r in np.flatnonzero(tight)]):
+            if not group.any():
+                continue
+            true = np.sqrt(((x[rows][group][:, None, :] - y[cand]) ** 2).sum(2))
+            true = true if cost is None else np.maximum(true, cost[cand])
+            true = np.where(np.isfinite(np.take_along_axis(d[group], cand, 1)), true, np.inf)
+            order = np.lexsort((ids[cand], true), axis=1)[:, :k]
+            where = np.flatnonzero(group) + at
+            places[where, : order.shape[1]] = np.take_along_axis(cand, order, 1)
+            dist[where, : order.shape[1]] = np.take_along_axis(true, order, 1)
+    return places, dist
+
+
 def nearest(queries: DataFrame, points: DataFrame, id_col: str, vec_col: str, k: int, cost_col: str | None = None, exclude_self: bool = False, block: int = BLOCK, n_queries: int | None = None, n_points: int | None = None, apart_col: str | None = None) -> DataFrame:
     """(id, neighbour, dist, rank) of the k nearest points; with ``cost_col`` the distance to a point is
     max(its cost, distance), as in path-cost classification; with ``apart_col``, a number both sides
@@ -50,19 +91,17 @@ def nearest(queries: DataFrame, points: DataFrame, id_col: str, vec_col: str, k:
     def block_nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if len(left) == 0 or len(right) == 0:
             return pd.DataFrame({"id": [], "neighbour": [], "dist": []}).astype({"id": "int64", "neighbour": "int64"})
-        d = pairwise(np.stack(left["vec"].to_numpy()), np.stack(right["vec"].to_numpy()))
-        if cost_col:
-            d = np.maximum(d, right[cost_col].to_numpy()[None, :])
-        ids = right["id"].to_numpy()
-        if exclude_self:
-            d[left["id"].to_numpy()[:, None] == ids[None, :]] = np.inf
-        if apart_col:
-            d[left["_apart"].to_numpy()[:, None] == right["_apart"].to_numpy()[None, :]] = np.inf
-        order = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :k]
-        dist = np.take_along_axis(d, order, 1)
+        ids, mine = right["id"].to_numpy(), left["id"].to_numpy()
+        here, there = (side["_apart"].to_numpy() for side in (left, right)) if apart_col else (None, None)
+
+        def barred(rows: slice):
+            no = mine[rows, None] == ids[None] if exclude_self else None
+            same = here[rows, None] == there[None] if apart_col else None
+            return same if no is None else no if same is None else no | same
+
+        places, dist = _closest(np.stack(left["vec"].to_numpy()), np.stack(right["vec"].to_numpy()), ids, k, right[cost_col].to_numpy() if cost_col else None, barred)
         ok = np.isfinite(dist)
-        who = np.repeat(left["id"].to_numpy(), ok.sum(1))
-        return pd.DataFrame({"id": who, "neighbour": ids[order][ok], "dist": dist[ok]})
+        return pd.DataFrame({"id": np.repeat(mine, ok.sum(1)), "neighbour": ids[places][ok], "dist": dist[ok]})
 
     met = q.groupBy("qb", "pb").cogroup(p.groupBy("qb", "pb")).applyInPandas(block_nearest, out)
     best = met.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("dist", "neighbour"))), 1, k).alias("n"))

@@ -253,11 +253,7 @@ COMP = "e AS (SELECT p.image_id * 1099511627776 + p.y * 1048576 + p.x AS a, q.im
 
 
 def _components(spark, folder):
-    scratch = Scratch(spark, "components")
-    p = pixels(spark, folder).where("v > 150")
-    e = grid.grid_edges(p, "v").select(graphs.pixel_id("image_id", "px", "py").alias("a"), graphs.pixel_id("image_id", "qx", "qy").alias("b"))
-    roots = scratch.put(graphs.connected_components(e, scratch))
-    return p.select(graphs.pixel_id("image_id", "x", "y").alias("id"), "image_id", "x", "y").join(roots, "id", "left").select("id", "image_id", "x", "y", F.coalesce("root", "id").alias("root"))
+    return graphs.grid_components(pixels(spark, folder).where("v > 150"), Scratch(spark, "components"))
 
 
 @query("label_components_grid", f"WITH RECURSIVE {PX}, {COMP} SELECT id, root FROM c")

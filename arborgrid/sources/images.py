@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import re
 from collections.abc import Iterator
 
@@ -10,6 +9,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from arborgrid.sources.tabular import writer
+
 
 def decode_pnm(data: bytes) -> np.ndarray:
     """Array (height, width, bands) of a P2, P5 or P6 file; comments in the head are skipped."""
@@ -60,16 +61,13 @@ def to_pixels(images: DataFrame) -> DataFrame:
 
 
 def write_images(pixels: DataFrame, folder: str, value: str = "v") -> DataFrame:
-    """(image_id, bytes): writes <folder>/<image_id>.pgm for each image from the executors; the folder
-    must be shared. Lazy: an action on the result writes."""
+    """(image_id, bytes): writes <folder>/<image_id>.pgm for each image from the executors, which must
+    share the folder (a path or an address, see tabular.writer). Lazy: an action on the result writes."""
 
     def save(pdf: pd.DataFrame) -> pd.DataFrame:
-        os.makedirs(folder, exist_ok=True)
         a = np.zeros((pdf["y"].max() + 1, pdf["x"].max() + 1, 1), dtype=np.int64)
         a[pdf["y"], pdf["x"], 0] = pdf[value]
-        data = encode_pnm(a)
-        with open(os.path.join(folder, f"{pdf['image_id'].iloc[0]}.pgm"), "wb") as f:
-            f.write(data)
-        return pd.DataFrame({"image_id": [pdf["image_id"].iloc[0]], "bytes": [len(data)]})
+        size = writer(folder)(f"{pdf['image_id'].iloc[0]}.pgm", encode_pnm(a))
+        return pd.DataFrame({"image_id": [pdf["image_id"].iloc[0]], "bytes": [size]})
 
     return pixels.groupBy("image_id").applyInPandas(save, "image_id long, bytes long")

@@ -28,7 +28,8 @@ def has_header(rows: list[list[str]]) -> bool:
 def read_csv(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
     """All columns as strings; names from a header if there is one, else c0, c1, ... No quoting.
 
-    A row with another number of cells than the first raises when it is read.
+    With a header the first line of each file is one; later rows that equal it are data. A row with
+    another number of cells than the first raises when it is read; empty lines are skipped.
     """
     head = [r[0].rstrip("\r\n").split(separator) for r in spark.read.text(path).limit(2).collect()]
     if not head:
@@ -36,12 +37,11 @@ def read_csv(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
     named = has_header(head)
     width = len(head[0])
     names = head[0] if named else [f"c{i}" for i in range(width)]
-    cells = F.split(F.regexp_replace("value", r"[\r\n]+$", ""), re.escape(separator), -1)
-    rows = spark.read.text(path).select("value", cells.alias("_c"))
-    if named:
-        rows = rows.where(F.col("value") != separator.join(head[0]))
-    width_ok = F.assert_true(F.size("_c") == width, F.concat(F.lit(f"not {width} cells: "), "value"))
-    return rows.where(width_ok.isNull()).select(*[F.col("_c")[i].alias(n) for i, n in enumerate(names)])
+    schema = ", ".join(f"`{i}` string" for i in range(width)) + ", _bad string"
+    rows = spark.read.csv(path, schema=schema, sep=separator, header=named, quote="", escape="", columnNameOfCorruptRecord="_bad", multiLine=False)
+    width_ok = F.assert_true(F.col("_bad").isNull(), F.concat(F.lit(f"not {width} cells: "), "_bad"))
+    cells = [F.coalesce(F.regexp_replace(F.col(f"`{i}`"), r"[\r\n]+$", ""), F.lit("")).alias(n) for i, n in enumerate(names)]
+    return rows.where(width_ok.isNull()).select(*cells)
 
 
 def write_csv(df: DataFrame, path: str, separator: str = ",", header: bool = True) -> None:
@@ -50,6 +50,21 @@ def write_csv(df: DataFrame, path: str, separator: str = ",", header: bool = Tru
     df.write.mode("overwrite").csv(path, sep=separator, header=header)
 
 
+def writer(folder: str):
+    """A function (name, bytes) -> size that writes files below ``folder``: a path or an address."""
+    from pyarrow import fs
+
+    system, root = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:/") else (fs.LocalFileSystem(), folder)
+    system.create_dir(root, recursive=True)
+
+    def put(name: str, data: bytes) -> int:
+        with system.open_output_stream(f"{root.rstrip('/')}/{name}") as f:
+            f.write(data)
+        return len(data)
+
+    return put
+
+
 def read_numpy(spark: SparkSession, path: str) -> DataFrame:
     """(path, dtype, shape, data) of each .npy file; data in C order as doubles."""
     import io
@@ -63,18 +78,19 @@ def read_numpy(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_numpy(df: DataFrame, folder: str, name: str = "name", shape: str = "shape", data: str = "data", dtype: str = "<f4") -> DataFrame:
-    """(name, bytes): writes <folder>/<name>.npy for each row from the executors; the folder must be
-    one that all of them share. Lazy: an action on the result writes."""
-    import os
+    """(name, bytes): writes <folder>/<name>.npy for each row from the executors, to a local path or any
+    file system that pyarrow knows by its address (file, hdfs, s3, ...); all executors must share it.
+    Lazy: an action on the result writes."""
+    import io
 
     def save(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        os.makedirs(folder, exist_ok=True)
+        put = writer(folder)
         for pdf in batches:
             sizes = []
             for n, s, d in zip(pdf[name], pdf[shape], pdf[data]):
-                target = os.path.join(folder, f"{n}.npy")
-                np.save(target, np.asarray(d, dtype=dtype).reshape([int(x) for x in s]))
-                sizes.append(os.path.getsize(target))
+                buffer = io.BytesIO()
+                np.save(buffer, np.asarray(d, dtype=dtype).reshape([int(x) for x in s]))
+                sizes.append(put(f"{n}.npy", buffer.getvalue()))
             yield pd.DataFrame({"name": pdf[name].astype(str), "bytes": sizes})
 
     return df.mapInPandas(save, "name string, bytes long")

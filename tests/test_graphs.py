@@ -226,3 +226,49 @@ def test_sql_hooks(spark):
     hooks.register(spark)
     assert spark.sql("SELECT vector_l2(array(0.0D, 3.0D), array(4.0D, 0.0D)) AS d").first()["d"] == 5.0
     assert {tuple(r) for r in spark.sql("SELECT * FROM grid_sampler(4, 4, 2)").collect()} == {(1, 1), (3, 1), (1, 3), (3, 3)}
+
+
+def test_rounds_of_joins_give_what_one_task_gives(spark, net, monkeypatch):
+    es, df = net
+    seeds = spark.createDataFrame([(0, 1, 0.0), (7, 2, 0.0)], "id long, label int, cost double")
+    rows = lambda d: {tuple(r) for r in d.collect()}
+    run = lambda: [
+        rows(graphs.connected_components(df.select("a", "b"), Scratch(spark))),
+        rows(graphs.minimum_spanning_forest(df, Scratch(spark))),
+        rows(graphs.path_forest(df, seeds, Scratch(spark), graphs.fmax)),
+        rows(graphs.path_forest(df, seeds, Scratch(spark), graphs.fsum)),
+    ]
+    one = run()
+    monkeypatch.setattr(graphs, "SMALL", -1)
+    assert run() == one
+    with pytest.raises(RuntimeError):
+        graphs.path_forest(df, seeds, Scratch(spark), graphs.fsum, max_rounds=1)
+
+
+def test_components_of_tiles(spark):
+    a = np.random.default_rng(4).random((30, 41)) < 0.6
+    p = spark.createDataFrame([(1, x, y) for y, x in zip(*map(lambda c: c.tolist(), np.nonzero(a)))], "image_id long, x int, y int")
+    number = lambda y, x: (1 << 40) + (y << 20) + x
+    pairs = [(number(y, x), number(y + dy, x + dx)) for y, x in zip(*np.nonzero(a)) for dy, dx in ((0, 1), (1, 0)) if y + dy < 30 and x + dx < 41 and a[y + dy, x + dx]]
+    want = {int(number(y, x)): int(number(y, x)) for y, x in zip(*np.nonzero(a))} | {int(k): int(v) for k, v in roots_of(pairs).items()}
+    for tile in (7, 64):
+        assert {r["id"]: r["root"] for r in graphs.grid_components(p, Scratch(spark), tile).collect()} == want
+    with pytest.raises(Exception, match="too large"):
+        p.select(graphs.pixel_id("image_id", "x", "y")).union(p.withColumn("x", F.lit(1 << 20)).select(graphs.pixel_id("image_id", "x", "y"))).collect()
+
+
+def test_near_ties_are_ranked_by_exact_distance(spark):
+    base = np.array([1000.0, 1000.0, 1000.0])
+    x = np.array([base + np.array([i % 3, 0, 0]) * 1e-7 for i in range(120)])
+    df = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(x)], "id long, vec array<double>")
+    got = {(r["id"], r["rank"]): r["neighbour"] for r in neighbours.nearest(df, df, "id", "vec", 3, exclude_self=True).collect()}
+    for i in range(120):
+        want = sorted((float(np.sqrt(((x[i] - x[j]) ** 2).sum())), j) for j in range(120) if j != i)[:3]
+        assert [got[(i, r)] for r in (1, 2, 3)] == [j for _, j in want]
+
+
+def test_pca_takes_all_rows_or_raises(spark):
+    df = spark.createDataFrame([([1.0, 2.0],), ([2.0, 1.0],), (None,)], "v array<double>")
+    assert learning.pca(df, "v", 1)[0].tolist() == [1.5, 1.5]
+    with pytest.raises(ValueError):
+        learning.pca(df.union(spark.createDataFrame([([1.0],)], "v array<double>")), "v", 1)

@@ -22,6 +22,8 @@ def test_csv(spark, tmp_path):
     (tmp_path / "c.csv").write_text("1,2\n3\n")
     with pytest.raises(Exception, match="not 2 cells"):
         tabular.read_csv(spark, str(tmp_path / "c.csv")).collect()
+    (tmp_path / "d.csv").write_text('name,n\n"x",1\nname,n\n y ,\n')
+    assert sorted(tuple(r) for r in tabular.read_csv(spark, str(tmp_path / "d.csv")).collect()) == [(" y ", ""), ('"x"', "1"), ("name", "n")]
     with pytest.raises(ValueError):
         tabular.write_csv(df, str(tmp_path / "o"), "|")
     tabular.write_csv(df, str(tmp_path / "o"), ";")
@@ -94,3 +96,7 @@ def test_kernels_have_unit_length_and_layers_run(spark):
     assert out.count() == 128 and len(out.first()["bands"]) == 2
     assert markers.vanilla_decoder(out).where("saliency < 0 OR saliency > 255").count() == 0
     assert markers.fit(px, mk.limit(0), [markers.Layer()]) == []
+    # beyond the bound all centroids are clustered on the cluster
+    far = markers.fit(px, mk, [markers.Layer(kernels_per_marker=2, out_channels=4)], max_patches=1)
+    near = markers.fit(px, mk, [markers.Layer(kernels_per_marker=2, out_channels=4)])
+    assert np.allclose(sorted(far[0].kernels.tolist()), sorted(near[0].kernels.tolist()))
