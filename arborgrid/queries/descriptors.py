@@ -43,17 +43,26 @@ def smooth_labels(spark, folder):
 @query("diffuse_labels")
 def diffuse_labels(spark, folder):
     p = pixels(spark, folder).select("image_id", "x", "y", "v", (F.col("label") > 5).cast("double").alias("s"))
-    return descriptors.diffuse(p, "s", "v", 3, Scratch(spark, "diffuse"))
+    return descriptors.diffuse(p, "s", "v", 3, Scratch(spark, "diffuse")).withColumn("s", F.round("s", 6))
 
 
-@query("surface_distance")
+EDGE = "SELECT p.image_id, p.x, p.y FROM px p LEFT JOIN px q ON q.image_id = p.image_id AND abs(q.x - p.x) + abs(q.y - p.y) = 1 AND q.v > {t} WHERE p.v > {t} GROUP BY ALL HAVING count(q.v) < 4"
+
+
+@query("surface_distance", f"""WITH {PX}, a AS ({EDGE.format(t=120)}), b AS ({EDGE.format(t=130)}),
+  ab AS (SELECT image_id, avg(d) AS d FROM (SELECT a.image_id, a.x, a.y, sqrt(min((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) AS d FROM a JOIN b ON a.image_id = b.image_id GROUP BY ALL) GROUP BY 1),
+  ba AS (SELECT image_id, avg(d) AS d FROM (SELECT b.image_id, b.x, b.y, sqrt(min((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) AS d FROM b JOIN a ON a.image_id = b.image_id GROUP BY ALL) GROUP BY 1)
+  SELECT ab.image_id, round(ab.d, 6) AS asd, round((ab.d + ba.d) / 2, 6) AS assd FROM ab JOIN ba ON ab.image_id = ba.image_id""")
 def surface_distance(spark, folder):
     p = pixels(spark, folder)
     a, b = (p.select("image_id", "x", "y", (F.col("v") > t).cast("int").alias("v")) for t in (120, 130))
     return descriptors.surface_distance(a, b)
 
 
-@query("boundary_recall")
+BORDER = "SELECT p.image_id, p.x, p.y FROM q p LEFT JOIN q n ON n.image_id = p.image_id AND abs(n.x - p.x) + abs(n.y - p.y) = 1 AND n.{c} = p.{c} GROUP BY ALL HAVING count(n.x) < 4"
+
+
+@query("boundary_recall", f"WITH {PX}, q AS (SELECT *, y // 8 * 8 + x // 8 AS sp FROM px), t AS ({BORDER.format(c='label')}), s AS ({BORDER.format(c='sp')}), m AS (SELECT t.image_id, t.x, t.y, count(s.x) > 0 AS hit FROM t LEFT JOIN s ON s.image_id = t.image_id AND abs(s.x - t.x) <= 1 AND abs(s.y - t.y) <= 1 GROUP BY ALL) SELECT image_id, round(avg(CAST(hit AS INT)), 6) AS boundary_recall FROM m GROUP BY 1")
 def boundary_recall(spark, folder):
     p = pixels(spark, folder).withColumn("sp", (F.floor(F.col("y") / 8) * 8 + F.floor(F.col("x") / 8)).cast("int"))
     return descriptors.boundary_recall(p, "sp", "label")
@@ -64,12 +73,18 @@ def skeleton(spark, folder):
     return descriptors.skeleton(pixels(spark, folder).withColumn("m", (F.col("v") > 110).cast("int")), "m")
 
 
+@query("mask_points", f"WITH {PX}, m AS (SELECT * FROM px WHERE v > 170), n AS (SELECT p.image_id, p.x, p.y, count(*) AS n FROM m p JOIN m q ON q.image_id = p.image_id AND abs(q.x - p.x) <= 1 AND abs(q.y - p.y) <= 1 GROUP BY ALL) SELECT image_id, x, y, CASE WHEN n = 2 THEN 'end' ELSE 'junction' END AS kind FROM n WHERE n = 2 OR n >= 4")
+def mask_points(spark, folder):
+    """End points and junctions of a sparse mask."""
+    return descriptors.topology_points(pixels(spark, folder).where("v > 170").select("image_id", "x", "y"))
+
+
 @query("topology_points")
 def topology_points(spark, folder):
     return descriptors.topology_points(skeleton(spark, folder).where("skeleton = 1").select("image_id", "x", "y"))
 
 
-@query("furthest_pair")
+@query("furthest_pair", f"WITH {PX}, m AS (SELECT * FROM px WHERE v > 220) SELECT p.image_id, round(sqrt(max((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y))), 6) AS diameter FROM m p JOIN m q ON q.image_id = p.image_id GROUP BY 1")
 def furthest_pair(spark, folder):
     return descriptors.furthest_pair(pixels(spark, folder).where("v > 220"), "image_id")
 
@@ -94,7 +109,7 @@ def image_sequence(spark, folder):
     return descriptors.mode_over_time(pixels(spark, folder).withColumnRenamed("image_id", "t"), "v")
 
 
-@query("parameter_search")
+@query("parameter_search", f"WITH {PX}, c AS (SELECT v, label > 5 AS t, count(*) AS n FROM px GROUP BY ALL), g AS (SELECT CAST(a AS DOUBLE) AS low, CAST(b AS DOUBLE) AS high FROM range(0, 256, 16) r(a), range(15, 256, 16) q(b)), s AS (SELECT low, high, CAST(sum(CASE WHEN (v BETWEEN low AND high) = t THEN n ELSE 0 END) AS BIGINT) AS fitness FROM c, g GROUP BY ALL) SELECT * FROM s ORDER BY fitness DESC, low, high LIMIT 1")
 def parameter_search(spark, folder):
     """Threshold and stretch that agree best with the labels, by a full grid on aggregated counts."""
     counts = pixels(spark, folder).groupBy("v", (F.col("label") > 5).alias("t")).agg(F.count(F.lit(1)).alias("n"))

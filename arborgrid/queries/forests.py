@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from arborgrid.operators import forests, graphs
+from arborgrid.operators import forests, graphs, grid
 from arborgrid.plans import Scratch
 from arborgrid.queries.images import PX, pixels
 from arborgrid.registry import query
@@ -32,6 +32,12 @@ def watershed(spark, folder):
     return forests.watershed(seeded(spark, folder), "v", "seed")
 
 
+@query("water_cut_cost", f"{SEEDED}, {ARCS.replace('q.v AS w', 'abs(q.v - p.v) AS w')}, r(image_id, x, y, cost) USING KEY (image_id, x, y) AS (SELECT image_id, x, y, 0::BIGINT FROM s WHERE seed > 0 UNION SELECT g.image_id, g.qx, g.qy, min(greatest(r.cost, g.w)) FROM r JOIN g ON g.image_id = r.image_id AND g.px = r.x AND g.py = r.y LEFT JOIN recurring.r o ON o.image_id = g.image_id AND o.x = g.qx AND o.y = g.qy WHERE greatest(r.cost, g.w) < coalesce(o.cost, 1000000) GROUP BY ALL) SELECT image_id, x, y, CAST(cost AS DOUBLE) AS cost FROM r")
+def water_cut_cost(spark, folder):
+    """Cost map of the watershed by differences."""
+    return forests.watershed(seeded(spark, folder), "v", "seed", by_difference=True).select("image_id", "x", "y", "cost")
+
+
 @query("water_cut")
 def water_cut(spark, folder):
     return forests.watershed(seeded(spark, folder), "v", "seed", by_difference=True)
@@ -90,6 +96,16 @@ def superpixels_seed_removal(spark, folder):
     return forests.superpixels_forest(pixels(spark, folder), "v", 200, 20)
 
 
+@query("superpixels_connected", f"WITH {PX} SELECT image_id, 20::BIGINT AS superpixels, 20::BIGINT AS pieces, count(*) AS area FROM px GROUP BY 1 HAVING count(*) = 4096")
+def superpixels_connected(spark, folder):
+    """Superpixels of each whole image after seed removal, and 4-connected pieces with one label: as many."""
+    p = superpixels_seed_removal(spark, folder)
+    apart = p.withColumn("image_id", F.col("image_id") * 1000 + F.col("superpixel"))  # a label an image
+    pieces = graphs.grid_components(apart, Scratch(spark, "pieces")).groupBy(F.floor(F.col("image_id") / 1000).alias("image_id")).agg(F.countDistinct("root").alias("pieces"))
+    n = p.groupBy("image_id").agg(F.countDistinct("superpixel").alias("superpixels"), F.count(F.lit(1)).alias("area"))
+    return n.join(pieces, "image_id").where("area = 4096").select("image_id", "superpixels", "pieces", "area")
+
+
 @query("superpixels_saliency")
 def superpixels_saliency(spark, folder):
     p = pixels(spark, folder).withColumn("s", F.col("v") / 255.0)
@@ -126,16 +142,30 @@ def superpixels_recentred(spark, folder):
     return forests.superpixels_recentred(pixels(spark, folder), "v", 8)
 
 
+@query("geodesic_length", f"{SEEDED}, i AS (SELECT * FROM s WHERE v > 100), o(dx, dy) AS (SELECT a, b FROM (VALUES (-1), (0), (1)) s(a), (VALUES (-1), (0), (1)) t(b) WHERE a <> 0 OR b <> 0), g AS (SELECT p.image_id, p.x AS px, p.y AS py, q.x AS qx, q.y AS qy, sqrt(o.dx * o.dx + o.dy * o.dy) AS w FROM i p, o JOIN i q ON q.image_id = p.image_id AND q.x = p.x + o.dx AND q.y = p.y + o.dy), r(image_id, x, y, cost) USING KEY (image_id, x, y) AS (SELECT image_id, x, y, 0::DOUBLE FROM i WHERE seed > 0 UNION SELECT g.image_id, g.qx, g.qy, min(r.cost + g.w) FROM r JOIN g ON g.image_id = r.image_id AND g.px = r.x AND g.py = r.y LEFT JOIN recurring.r o ON o.image_id = g.image_id AND o.x = g.qx AND o.y = g.qy WHERE r.cost + g.w < coalesce(o.cost, 1e300) - 1e-9 GROUP BY ALL) SELECT image_id, x, y, round(cost, 4) AS dist FROM r")
+def geodesic_length(spark, folder):
+    """Lengths of the shortest paths within the mask, where a seed reaches."""
+    d = geodesic_distance(spark, folder).where("dist IS NOT NULL AND NOT isnan(dist)")
+    return d.select("image_id", "x", "y", F.round("dist", 4).alias("dist"))
+
+
 @query("geodesic_distance")
 def geodesic_distance(spark, folder):
     return forests.geodesic_distance(seeded(spark, folder).withColumn("m", (F.col("v") > 100).cast("int")), "seed", "m")
 
 
-@query("bilateral_filter")
+@query("bilateral_filter", f"WITH {PX}, o(dx, dy) AS (VALUES " + ", ".join(f"({a}, {b})" for a, b in grid.circular(2.0)) + "), n AS (SELECT p.image_id, p.x, p.y, q.v, exp(-(o.dx * o.dx + o.dy * o.dy) / 8.0) * exp(-((p.v - q.v) * (p.v - q.v)) / 800.0) AS w FROM px p, o JOIN px q ON q.image_id = p.image_id AND q.x = p.x + o.dx AND q.y = p.y + o.dy) SELECT image_id, x, y, round(sum(w * v) / sum(w), 6) AS smoothed FROM n GROUP BY ALL")
 def bilateral_filter(spark, folder):
     return forests.bilateral(pixels(spark, folder), "v", 2, 2.0, 20.0)
 
 
+@query("spectrum_energy", f"WITH {PX} SELECT image_id, round(log10(count(*) * sum(CAST(v AS DOUBLE) * v)), 6) AS energy, round(CAST(sum(v) AS DOUBLE), 3) AS mean_term FROM px GROUP BY 1")
+def spectrum_energy(spark, folder):
+    """Sum of the squared magnitudes (by Parseval's law n times that of the values), and the term at 0."""
+    s = spectrum(spark, folder)
+    return s.groupBy("image_id").agg(F.round(F.log10(F.sum(F.col("magnitude") ** 2)), 6).alias("energy"), F.round(F.max(F.when((F.col("x") == 0) & (F.col("y") == 0), F.col("magnitude"))), 3).alias("mean_term"))
+
+
 @query("spectrum")
 def spectrum(spark, folder):
     return forests.spectrum(pixels(spark, folder), "v")

@@ -197,14 +197,22 @@ def detection_counts(spark, folder):
     return detection.evaluate(*_boxes(spark, folder), "image_id", (0.3, 0.5, 0.75))
 
 
-@query("detection_pr")
+PR = BOXES + """, n AS (SELECT image_id, (SELECT count(*) FROM t WHERE t.image_id = i.image_id) AS nt, (SELECT count(*) FROM f WHERE f.image_id = i.image_id) AS nf FROM (SELECT image_id FROM t UNION SELECT image_id FROM f) i),
+  th(threshold, cut) AS (VALUES """ + ", ".join(f"({round(0.30 + 0.05 * i, 2)!r}::DOUBLE, {0.30 + 0.05 * i!r}::DOUBLE)" for i in range(14)) + """),
+  h AS (SELECT threshold, image_id, count(DISTINCT true_id) AS found, count(DISTINCT found_id) AS good FROM m, th WHERE iou > cut GROUP BY ALL),
+  c AS (SELECT th.threshold, n.image_id, coalesce(found, 0) AS found, nt - coalesce(found, 0) AS missed, nf - coalesce(good, 0) AS wrong FROM n CROSS JOIN th LEFT JOIN h ON h.threshold = th.threshold AND h.image_id = n.image_id),
+  r AS (SELECT threshold, image_id, sum(found) OVER w AS tp, sum(missed) OVER w AS fn, sum(wrong) OVER w AS fp FROM c WINDOW w AS (PARTITION BY threshold ORDER BY image_id ROWS UNBOUNDED PRECEDING)),
+  pr AS (SELECT threshold, image_id, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 1 END, 6) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 1 END, 6) AS recall, round(CASE WHEN 5 * tp + 4 * fn + fp > 0 THEN 5 * tp / (5 * tp + 4 * fn + fp) ELSE 0 END, 6) AS f2 FROM r)"""
+
+
+@query("detection_pr", f"WITH {PX}, {PR} SELECT * FROM pr")
 def detection_pr(spark, folder):
     """Cumulative precision, recall and F2 over images, at 14 thresholds."""
     counts = detection.evaluate(*_boxes(spark, folder), "image_id", [0.30 + 0.05 * i for i in range(14)])
     return metrics.running_detection(counts.withColumn("threshold", F.round("threshold", 2)), "threshold", "image_id")
 
 
-@query("detection_ap")
+@query("detection_ap", f"WITH {PX}, {PR}, q AS (SELECT threshold, recall, precision, lag(recall, 1, 0) OVER w AS r0, lag(precision, 1, 1) OVER w AS p0 FROM pr WINDOW w AS (PARTITION BY threshold ORDER BY recall, precision DESC)) SELECT threshold, round(sum((recall - r0) * (precision + p0) / 2), 6) AS ap FROM q GROUP BY 1")
 def detection_ap(spark, folder):
     return metrics.average_precision(detection_pr(spark, folder), "threshold")
 
@@ -268,6 +276,13 @@ def largest_components(spark, folder):
     return sampling.top_groups(_components(spark, folder), "root", 5)
 
 
-@query("regional_extrema")
+@query(
+    "regional_extrema",
+    f"""WITH RECURSIVE {PX}, p AS (SELECT image_id * 1099511627776 + y * 1048576 + x AS id, * FROM px), o(dx, dy) AS (SELECT a, b FROM (VALUES (-1), (0), (1)) s(a), (VALUES (-1), (0), (1)) t(b) WHERE a <> 0 OR b <> 0),
+    g AS (SELECT p.id AS a, q.id AS b, p.v AS va, q.v AS vb FROM p, o JOIN p q ON q.image_id = p.image_id AND q.x = p.x + o.dx AND q.y = p.y + o.dy),
+    r(id, root) USING KEY (id) AS (SELECT id, id FROM p UNION SELECT g.b, min(r.root) FROM r JOIN g ON g.a = r.id AND g.va = g.vb JOIN recurring.r o ON o.id = g.b WHERE r.root < o.root GROUP BY g.b),
+    f AS (SELECT root, bool_or(vb > va) AS above, bool_or(vb < va) AS below FROM g JOIN r ON r.id = g.a GROUP BY 1)
+    SELECT p.image_id, p.x, p.y, NOT above AS is_max, NOT below AS is_min FROM p JOIN r USING (id) JOIN f USING (root)""",
+)
 def regional_extrema(spark, folder):
     return grid.regional_extrema(pixels(spark, folder), "v", Scratch(spark, "extrema"), grid.circular(1.5))

@@ -101,13 +101,38 @@ def kmeans_5(spark, folder):
     return a.select("vec_id", "cluster", F.round("dist", 6).alias("dist"))
 
 
+def _lloyd(k: int, rounds: int, table: str = "embeddings", unit: bool = False) -> str:
+    """CTEs a1, c1, ... of Lloyd's rounds from the k smallest ids."""
+    mean = "avg(CAST(v AS DOUBLE))"
+    out = [f"c0 AS (SELECT vec_id + 1 AS c, embedding AS m FROM {table} WHERE vec_id < {k})"]
+    for i in range(1, rounds + 1):
+        out.append(f"a{i} AS (SELECT vec_id, embedding, arg_min(c, (d, c)) AS cluster, min(d) AS d FROM (SELECT e.vec_id, e.embedding, c.c, list_sum(list_transform(list_zip(e.embedding, c.m), lambda z: pow(CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE), 2))) AS d FROM {table} e, c{i - 1} c) GROUP BY ALL)")
+        out.append(f"m{i} AS (SELECT cluster AS c, list(v ORDER BY i) AS m FROM (SELECT cluster, i, {mean} AS v FROM (SELECT cluster, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM a{i}) GROUP BY ALL) GROUP BY 1)")
+        out.append(f"c{i} AS (SELECT c, " + ("list_transform(m, lambda x: x / sqrt(list_sum(list_transform(m, lambda y: y * y)))) AS m" if unit else "m") + f" FROM m{i})")
+    return ", ".join(out)
+
+
+def _assigned(rounds: int, table: str = "embeddings") -> str:
+    return f"z AS (SELECT vec_id, CAST(arg_min(c, (d, c)) AS INT) AS cluster, min(d) AS d FROM (SELECT e.vec_id, c.c, list_sum(list_transform(list_zip(e.embedding, c.m), lambda z: pow(CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE), 2))) AS d FROM {table} e, c{rounds} c) GROUP BY 1)"
+
+
+@query("kmeans_twelve_rounds", "WITH " + _lloyd(10, 12) + ", " + _assigned(12) + " SELECT cluster, arg_min(vec_id, (d, vec_id)) AS medoid, count(*) AS size FROM z GROUP BY 1")
+def kmeans_twelve_rounds(spark, folder):
+    """Ten clusters after twelve rounds: the member nearest to each centre, and sizes."""
+    a, _ = learning.kmeans(vectors(spark, folder), "vec_id", "embedding", 10, max_iter=12, tol=0.0)
+    return learning.nearest_members(a, "vec_id")
+
+
 @query("kmeans_converged")
 def kmeans_converged(spark, folder):
     a, _ = learning.kmeans(vectors(spark, folder), "vec_id", "embedding", 10)
     return learning.nearest_members(a, "vec_id")
 
 
-@query("spherical_kmeans")
+UNIT = "u AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * y)))) AS embedding FROM embeddings)"
+
+
+@query("spherical_kmeans", f"WITH {UNIT}, " + _lloyd(5, 10, "u", True) + ", " + _assigned(10, "u") + " SELECT vec_id, cluster FROM z")
 def spherical_kmeans(spark, folder):
     a, _ = learning.kmeans(vectors(spark, folder).withColumn("unit", distance.unit(F.col("embedding"))), "vec_id", "unit", 5, max_iter=10, spherical=True)
     return a.select("vec_id", "cluster")
@@ -124,7 +149,15 @@ def kmedoids(spark, folder):
     return a.select("vec_id", "cluster")
 
 
-@query("farthest_first")
+def _far(k: int) -> str:
+    out = ["f0 AS (SELECT min(vec_id) AS id FROM embeddings)"]
+    for i in range(1, k):
+        chosen = " UNION ALL ".join(f"SELECT id FROM f{j}" for j in range(i))
+        out.append(f"f{i} AS (SELECT arg_max(vec_id, (round(d, 9), -vec_id)) AS id FROM (SELECT e.vec_id, min(list_sum(list_transform(list_zip(e.embedding, c.embedding), lambda z: pow(CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE), 2)))) AS d FROM embeddings e JOIN embeddings c ON c.vec_id IN (SELECT id FROM ({chosen})) GROUP BY 1) WHERE d > 0)")
+    return ", ".join(out)
+
+
+@query("farthest_first", "WITH " + _far(6) + " " + " UNION ALL ".join(f"SELECT CAST({i} AS INT) AS rank, id AS vec_id FROM f{i}" for i in range(6)))
 def farthest_first(spark, folder):
     ids = learning.farthest_first(vectors(spark, folder), "vec_id", "embedding", 6)
     return spark.createDataFrame([(i, v) for i, v in enumerate(ids)], "rank int, vec_id long")
@@ -143,6 +176,21 @@ def knn_components(spark, folder):
     return graphs.connected_components(_knn_edges(spark, folder, scratch), scratch)
 
 
+@query("mst_counts", EDGES + ", r(id, root) AS (SELECT DISTINCT a, a FROM g UNION SELECT g.b, r.root FROM r JOIN g ON g.a = r.id WHERE r.root < g.b), c AS (SELECT id, min(root) AS root FROM r GROUP BY 1), l AS (SELECT a AS id, min(w) AS w FROM g GROUP BY 1) SELECT root, count(*) - 1 AS arcs, true AS holds_nearest FROM c GROUP BY 1")
+def mst_counts(spark, folder):
+    """Of every component of the 5-nearest graph: the spanning tree's arcs (its vertices less one), and
+    whether each vertex's shortest arc is one of them, as it must be."""
+    scratch = Scratch(spark, "mst")
+    edges = _knn_edges(spark, folder, scratch)
+    tree = scratch.put(graphs.minimum_spanning_forest(edges, scratch))
+    comp = graphs.connected_components(edges, scratch)
+    both = edges.select(F.col("a").alias("id"), "w", "a", "b").unionByName(edges.select(F.col("b").alias("id"), "w", "a", "b"))
+    least = both.groupBy("id").agg(F.min(F.struct("w", "a", "b")).alias("e")).select("id", "e.a", "e.b")
+    held = least.join(tree.select("a", "b", F.lit(True).alias("held")), ["a", "b"], "left").join(comp, "id").groupBy("root").agg(F.bool_and(F.coalesce("held", F.lit(False))).alias("holds_nearest"))
+    arcs = tree.join(comp, F.col("a") == F.col("id")).groupBy("root").agg(F.count(F.lit(1)).alias("arcs"))
+    return arcs.join(held, "root").select("root", "arcs", "holds_nearest")
+
+
 @query("mst_edges")
 def mst_edges(spark, folder):
     scratch = Scratch(spark, "mst")
@@ -157,7 +205,7 @@ def path_forest_max(spark, folder):
     return graphs.path_forest(_knn_edges(spark, folder, scratch), seeds, scratch).select("id", F.round("cost", 6).alias("cost"))
 
 
-@query("path_forest_sum")
+@query("path_forest_sum", EDGES + ", s(id, c) AS (SELECT vec_id, (0.0::DOUBLE, vec_id, vec_id) FROM embeddings WHERE vec_id % 97 = 0), r(id, c) USING KEY (id) AS (SELECT id, c FROM s UNION SELECT g.b, min((r.c[1] + g.w, r.c[2], r.c[3])) FROM r JOIN g ON g.a = r.id LEFT JOIN recurring.r o ON o.id = g.b WHERE o.id IS NULL OR (r.c[1] + g.w, r.c[2], r.c[3]) < o.c GROUP BY g.b) SELECT id, round(c[1], 6) AS cost, c[2] AS label, c[3] AS root FROM r")
 def path_forest_sum(spark, folder):
     scratch = Scratch(spark, "paths")
     seeds = vectors(spark, folder).where("vec_id % 97 = 0").select(F.col("vec_id").alias("id"), F.col("vec_id").alias("label"), F.lit(0.0).alias("cost"))
@@ -228,6 +276,19 @@ def kfold_stratified(spark, folder):
     return sampling.kfold(read(spark, folder, "orders"), "o_orderkey", 5, ["o_orderpriority"], seed=None).select("o_orderkey", "fold")
 
 
+@query("fold_counts", "WITH n AS (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1) SELECT o_orderpriority, CAST(f AS INT) AS fold, n // 5 + CAST(f < n % 5 AS INT) AS n FROM n, range(5) r(f)")
+def fold_counts(spark, folder):
+    """Sizes of random folds: even in each stratum."""
+    return kfold_random(spark, folder).groupBy("o_orderpriority", "fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("subsample_counts", "WITH l AS (SELECT l_returnflag AS stratum, ceil(count(*) * 0.1) AS n FROM lineitem GROUP BY 1), o AS (SELECT o_orderpriority AS stratum, least(100, count(*)) AS n FROM orders GROUP BY 1) SELECT stratum, CAST(n AS BIGINT) AS n FROM l UNION ALL SELECT stratum, n FROM o")
+def subsample_counts(spark, folder):
+    """Rows of each stratum in the proportional and in the balanced subsample."""
+    one = proportional_subsample(spark, folder).groupBy(F.col("l_returnflag").alias("stratum")).agg(F.count(F.lit(1)).alias("n"))
+    return one.unionByName(balanced_subsample(spark, folder).groupBy(F.col("o_orderpriority").alias("stratum")).agg(F.count(F.lit(1)).alias("n")))
+
+
 @query("kfold_random")
 def kfold_random(spark, folder):
     return sampling.kfold(read(spark, folder, "orders"), "o_orderkey", 5, ["o_orderpriority"]).select("o_orderkey", "o_orderpriority", "fold")
@@ -289,7 +350,7 @@ def bow_hard_coding(spark, folder):
     return learning.bag_of_words(learning.assign(e, "embedding", learning.first_samples(e, "vec_id", "embedding", 5)), "label", 5)
 
 
-@query("bow_soft_coding")
+@query("bow_soft_coding", "WITH c0 AS (SELECT vec_id + 1 AS c, embedding AS m FROM embeddings WHERE vec_id < 5), s AS (SELECT label, c, sum(exp(-d / 2)) AS a FROM (SELECT e.label, c.c, list_sum(list_transform(list_zip(e.embedding, c.m), lambda z: pow(CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE), 2))) AS d FROM embeddings e, c0 c) GROUP BY ALL), n AS (SELECT label, sqrt(sum(a * a)) AS n FROM s GROUP BY 1) SELECT s.label, list(round(a / n, 6) ORDER BY c) AS bow FROM s JOIN n ON n.label = s.label GROUP BY 1")
 def bow_soft_coding(spark, folder):
     e = vectors(spark, folder)
     return learning.soft_bag_of_words(e, "label", "embedding", learning.first_samples(e, "vec_id", "embedding", 5), 1.0)
@@ -301,6 +362,12 @@ def grid_search(spark, folder):
     return learning.grid_search(p, "f")
 
 
+@query("semi_supervised_cost", "WITH RECURSIVE g AS (SELECT a.vec_id AS a, b.vec_id AS b, sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: pow(CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE), 2)))) AS w FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id), r(id, c) USING KEY (id) AS (SELECT vec_id, (0.0::DOUBLE, label) FROM embeddings WHERE vec_id % 4 = 0 UNION SELECT g.b, min((greatest(r.c[1], g.w), r.c[2])) FROM r JOIN g ON g.a = r.id LEFT JOIN recurring.r o ON o.id = g.b WHERE o.id IS NULL OR (greatest(r.c[1], g.w), r.c[2]) < o.c GROUP BY g.b) SELECT id, round(c[1], 6) AS cost FROM r")
+def semi_supervised_cost(spark, folder):
+    """Costs of semi_supervised: the least largest arc from a labelled vector, on the complete graph."""
+    return semi_supervised(spark, folder).select("id", "cost")
+
+
 @query("semi_supervised")
 def semi_supervised(spark, folder):
     """Every fourth vector keeps its label; the others get one."""
