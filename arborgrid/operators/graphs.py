@@ -182,7 +182,8 @@ def path_forest(edges: DataFrame, seeds: DataFrame, scratch: Scratch, cost: Call
 
     ``edges`` (a, b, w) are undirected, ``seeds`` (id, label, cost). A vertex takes the least
     (cost, label, root), so ties between equal costs have one defined winner whatever the order
-    of the work. Only vertices that changed send offers in the next round. More than ``max_rounds``
+    of the work; only where equal costs of several labels meet on longer ways may one task and rounds
+    of joins name different ones. Only vertices that changed send offers in the next round. More than ``max_rounds``
     rounds raise RuntimeError.
     """
     both = edges.select("a", "b", "w").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborgrid.operators import learning
+from arborgrid.operators import grid, learning
 from arborgrid.plans import Scratch
 
 SEED = 3425
@@ -208,3 +208,47 @@ def marker_decoder(features: DataFrame, markers: DataFrame, background: int = 0)
     s = features.select("image_id", "x", "y", F.greatest(F.aggregate(F.zip_with("bands", arr, lambda v, k: F.coalesce(v * k, F.lit(0.0))), F.lit(0.0), lambda a, b: a + b), F.lit(0.0)).alias("s"))
     r = s.groupBy("image_id").agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
     return s.join(r, "image_id").select("image_id", "x", "y", F.round(F.when(F.col("hi") > F.col("lo"), (F.col("s") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 255).otherwise(0.0), 6).alias("saliency"))
+
+
+def band_sums(features: DataFrame, labels: Sequence[int]) -> DataFrame:
+    """Bands divided by their maximum in each image, and sums of them and of their squares over the bands
+    labelled 1 (f, f2) and 0 (b, b2)."""
+    peaks = features.select("image_id", F.posexplode("bands").alias("band", "v")).groupBy("image_id", "band").agg(F.max("v").alias("m"))
+    peaks = peaks.groupBy("image_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("band", "m"))), lambda e: e["m"]).alias("_m"))  # a number a band
+    scaled = F.zip_with("bands", "_m", lambda v, m: F.when(m > 0, v / m).otherwise(0.0))
+    sides = {n: F.array(*[F.lit(1.0 if x == k else 0.0) for x in labels]) for n, k in (("f", 1), ("b", 0))}
+    total = lambda f, side: F.aggregate(F.zip_with("bands", side, f), F.lit(0.0), lambda s, x: s + x)
+    out = features.join(peaks, "image_id").withColumn("bands", scaled)
+    return out.select("image_id", "x", "y", "bands", *[total(lambda v, k: v * k, s).alias(n) for n, s in sides.items()], *[total(lambda v, k: v * v * k, s).alias(f"{n}2") for n, s in sides.items()])
+
+
+def _scaled_saliency(raw: DataFrame) -> DataFrame:
+    r = raw.groupBy("image_id").agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
+    v = F.when(F.col("hi") > F.col("lo"), (F.col("s") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 255).otherwise(0.0)
+    return raw.join(r, "image_id").select("image_id", "x", "y", F.round(v, 6).alias("saliency"))
+
+
+def disc_decoder(features: DataFrame, labels: Sequence[int], by_probability: bool = False, radius: float = 1.5) -> DataFrame:
+    """(image_id, x, y, saliency 0..255) of bands labelled 1 (object) or 0 (background).
+
+    Around each pixel the bands of either side are averaged over a disc, places outside the image
+    counting as 0. By means, object bands count where their mean is the greater, background bands
+    against them where it is the smaller. By probability, each band counts (or counts against) where
+    its value is likelier under the normal distribution of its own side.
+    """
+    disc = grid.circular(radius)
+    one, zero = max(sum(x == 1 for x in labels), 0) * len(disc), max(sum(x == 0 for x in labels), 0) * len(disc)
+    base = band_sums(features, labels)
+    sums = grid.neighbourhood(base, disc, ["f", "b", "f2", "b2"], *[F.sum(c).alias(f"_{c}") for c in ("f", "b", "f2", "b2")])
+    met = base.join(sums, ["image_id", "x", "y"])
+    m1, m0 = F.col("_f") / max(one, 1), F.col("_b") / max(zero, 1)
+    if not by_probability:
+        s = F.when(m1 > m0, F.col("f")).otherwise(0.0) - F.when(m1 < m0, F.col("b")).otherwise(0.0)
+    else:
+        v1, v0 = F.col("_f2") / max(one, 1) - m1 * m1, F.col("_b2") / max(zero, 1) - m0 * m0
+        v1, v0 = F.when(v1 < 1e-7, 1.0).otherwise(v1), F.when(v0 < 1e-7, 1.0).otherwise(v0)
+        p = lambda x, m, v: F.exp(-((x - m) ** 2) / (2 * v))
+        side = F.array(*[F.lit(int(x)) for x in labels])
+        part = F.zip_with("bands", side, lambda x, k: F.when((k == 1) & (p(x, m1, v1) > p(x, m0, v0)), x).when((k == 0) & (p(x, m1, v1) < p(x, m0, v0)), -x).otherwise(0.0))
+        s = F.aggregate(part, F.lit(0.0), lambda a, x: a + x)
+    return _scaled_saliency(met.select("image_id", "x", "y", F.greatest(s, F.lit(0.0)).alias("s")))
