@@ -6,7 +6,7 @@ Readers parse on the cluster. Sinks write one file a partition, as Spark does; `
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -44,6 +44,22 @@ def read_csv(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
     return rows.where(width_ok.isNull()).select(*cells)
 
 
+def read_samples(spark: SparkSession, path: str, separator: str = ",", label: str | int | None = -1) -> DataFrame:
+    """Sample table of a CSV of numbers: (feat array<double>, truelabel int); ``label`` names or numbers
+    the column of classes (None: there is none, and labels are 0). Cells that are no numbers are null."""
+    rows = read_csv(spark, path, separator)
+    at = None if label is None else label if isinstance(label, str) else rows.columns[label]
+    number = lambda c: F.col(f"`{c}`").try_cast("double")
+    return rows.select(F.array(*[number(c) for c in rows.columns if c != at]).alias("feat"), (F.lit(0) if at is None else F.coalesce(number(at).cast("int"), F.lit(0))).alias("truelabel"))
+
+
+def renamed(df: DataFrame, header: Sequence[str]) -> DataFrame:
+    """The table with other column names; another number of names than columns raises ValueError."""
+    if len(header) != len(df.columns):
+        raise ValueError(f"{len(header)} names for {len(df.columns)} columns")
+    return df.toDF(*header)
+
+
 def write_csv(df: DataFrame, path: str, separator: str = ",", header: bool = True) -> None:
     if separator not in (",", ";"):
         raise ValueError("the separator must be ',' or ';'")
@@ -54,7 +70,9 @@ def writer(folder: str):
     """A function (name, bytes) -> size that writes files below ``folder``: a path or an address."""
     from pyarrow import fs
 
-    system, root = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:/") else (fs.LocalFileSystem(), folder)
+    if folder.startswith("file:/"):
+        folder = "/" + folder.removeprefix("file:").lstrip("/")
+    system, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
     system.create_dir(root, recursive=True)
 
     def put(name: str, data: bytes) -> int:
@@ -144,6 +162,11 @@ def read_lines(spark: SparkSession, path: str, containing: str | None = None) ->
     return t.where(F.contains("line", F.lit(containing))) if containing else t
 
 
+def replace_in_lines(spark: SparkSession, path: str, old: str, new: str) -> DataFrame:
+    """Lines of text files (gzip by extension) with every occurrence of a literal replaced: (path, line)."""
+    return read_lines(spark, path).withColumn("line", F.replace("line", F.lit(old), F.lit(new)))
+
+
 def read_zip(spark: SparkSession, path: str) -> DataFrame:
     """(path, member, content) of the members of zip files."""
     import io
