@@ -103,3 +103,22 @@ def quantized_bin(r: Column, g: Column, b: Column, per_channel: int, top: float
     """Bin of the RGB cube cut in ``per_channel`` ** 3 cells: r + n g + n n b."""
     q = [F.least(F.floor(c * per_channel / (top + 1)), F.lit(per_channel - 1)).cast("int") for c in (r, g, b)]
     return q[0] + q[1] * per_channel + q[2] * per_channel * per_channel
+
+
+def gray_table(v: Column, top: float = 255.0) -> Triple:
+    """Gray colours: black for 0, white for ``top``; channels 0..255."""
+    g = F.round(v / top * 255).cast("int")
+    return g, g, g
+
+
+def hot_table(v: Column, top: float = 255.0) -> Triple:
+    """Black over red and yellow to white, a third of the range each; channels 0..255."""
+    t = v / top * 3
+    return tuple(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), t - i)) * 255).cast("int") for i in range(3))  # type: ignore[return-value]
+
+
+def categorical(k: Column) -> Triple:
+    """A colour for each label from 1: hues by steps of the golden ratio; black for 0."""
+    golden = (5**0.5 - 1) / 2
+    rgb = hsv_to_rgb((k * golden) % 1.0 * 360, F.lit(0.8), F.when(k > 0, 1.0).otherwise(0.0))
+    return tuple(F.round(c).cast("int") for c in rgb)  # type: ignore[return-value]

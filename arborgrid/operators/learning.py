@@ -369,3 +369,73 @@ def grid_search(params: DataFrame, fitness: str) -> DataFrame:
     """Row of a parameter table with the best fitness, the first in column order among equals."""
     rest = [c for c in params.columns if c != fitness]
     return params.agg(F.min_by(F.struct(*rest, fitness), F.struct(-F.col(fitness), *rest)).alias("b")).select("b.*")
+
+
+def connected_knn_graph(df: DataFrame, id_col: str, vec_col: str, k: int, scratch: Scratch) -> DataFrame:
+    """(a, b, w): arcs to the k nearest others and those of the spanning tree, so the graph is connected."""
+    near = knn_edges(df, id_col, vec_col, k)
+    return near.unionByName(spanning_tree(df, id_col, vec_col, k, scratch)).groupBy("a", "b").agg(F.min("w").alias("w"))
+
+
+def iterated_path_forest(df: DataFrame, id_col: str, vec_col: str, edges: DataFrame, k: int, scratch: Scratch, cost=graphs.fsum, rounds: int = 10) -> DataFrame:
+    """(id, cluster, cost): ``k`` seeds (farthest first) grow a path forest over a graph; each seed moves to the
+    member nearest to its tree's mean, until none moves or ``rounds`` are over. ``cluster`` is the seed's id."""
+    rows = scratch.put(df.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec")))
+    seeds = sorted(farthest_first(rows, "id", "vec", k))
+    found = None
+    for _ in range(max(rounds, 1)):
+        start = rows.sparkSession.createDataFrame([(i, i, 0.0) for i in seeds], "id long, label long, cost double")
+        found = scratch.put(graphs.path_forest(edges, start, scratch, cost).select("id", F.col("label").alias("cluster"), "cost"))
+        members = rows.join(found, "id")
+        means = members.select("cluster", F.posexplode("vec").alias("p", "v")).groupBy("cluster", "p").agg(F.avg("v").alias("v"))
+        means = means.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "v"))), lambda e: e["v"]).alias("mean"))  # a number a place
+        d = members.join(F.broadcast(means), "cluster").withColumn("d", F.round(distance.squared_l2(F.col("vec"), F.col("mean")), 9))  # k rows
+        new = sorted(r["id"] for r in d.groupBy("cluster").agg(F.min_by("id", F.struct("d", "id")).alias("id")).collect())
+        if new == seeds:
+            break
+        seeds = new
+    return found
+
+
+def normalised_cut(edges: DataFrame, labels: DataFrame) -> float:
+    """Sum over clusters of the weight of arcs that leave it by the weight of all its arcs; an arc (a, b, w)
+    weighs 1 / w. ``labels`` has id and cluster."""
+    la, lb = labels.select(F.col("id").alias("a"), F.col("cluster").alias("ca")), labels.select(F.col("id").alias("b"), F.col("cluster").alias("cb"))
+    met = edges.where("w > 0").join(la, "a").join(lb, "b").withColumn("v", 1 / F.col("w"))
+    ends = met.select(F.explode(F.array("ca", "cb")).alias("c"), (F.col("ca") != F.col("cb")).alias("out"), "v")
+    by = ends.groupBy("c").agg(F.sum(F.when(F.col("out"), F.col("v")).otherwise(0.0)).alias("o"), F.sum("v").alias("t"))
+    return by.agg(F.sum(F.col("o") / F.col("t")).alias("cut")).first()["cut"] or 0.0
+
+
+def best_k(df: DataFrame, id_col: str, vec_col: str, candidates: Sequence[int], scratch: Scratch, cut=normalised_cut) -> tuple[int, DataFrame]:
+    """The number of neighbours whose density clusters have the least cut (the first among equals), and the
+    clusters (id, cluster, density). ``cut`` is a function of arcs and clusters; one cluster counts 1."""
+    best = None
+    for k in candidates:
+        found = scratch.put(cluster_by_density(df, id_col, vec_col, k, scratch))
+        value = cut(knn_edges(df, id_col, vec_col, k), found) if found.select("cluster").distinct().limit(2).count() > 1 else 1.0
+        if best is None or value < best[0]:
+            best = (value, k, found)
+    if best is None:
+        raise ValueError("no candidates")
+    return best[1], best[2]
+
+
+def fisher_scores(df: DataFrame, vec_col: str, label_col: str) -> DataFrame:
+    """(place, score) of each place of the vectors: variance of the class means by mean variance within
+    classes, each class by its share; 0 where nothing varies within classes."""
+    flat = df.where(F.col(label_col).isNotNull()).select(F.col(label_col).alias("_l"), F.posexplode(vec_col).alias("place", "v"))
+    c = flat.groupBy("place", "_l").agg(F.count("v").alias("n"), F.avg(F.col("v").cast("double")).alias("m"), F.var_pop(F.col("v").cast("double")).alias("s"))
+    t = c.groupBy("place").agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("t"))
+    g = c.join(t, "place").groupBy("place").agg((F.sum(F.col("n") * (F.col("m") - F.col("t")) ** 2) / F.sum("n")).alias("b"), (F.sum(F.col("n") * F.col("s")) / F.sum("n")).alias("w"))
+    return g.select("place", F.when(F.col("w") > 0, F.col("b") / F.col("w")).otherwise(0.0).alias("score"))
+
+
+def neural_network(df: DataFrame, vec_col: str, label_col: str, hidden: Sequence[int] = (32,), rounds: int = 60, seed: int = 1):
+    """Feed-forward network (MLlib) on an array column; labels are whole numbers from 0. For ``predict``."""
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+    from pyspark.ml.functions import array_to_vector
+
+    r = df.select(F.max(F.size(vec_col)).alias("d"), F.max(label_col).alias("c")).first()
+    data = df.select(array_to_vector(F.col(vec_col).cast("array<double>")).alias("features"), F.col(label_col).cast("double").alias("label"))
+    return MultilayerPerceptronClassifier(layers=[r["d"], *hidden, int(r["c"]) + 1], maxIter=rounds, seed=seed).fit(data)

@@ -149,3 +149,21 @@ def match_histogram(source: DataFrame, target: DataFrame, value: str) -> DataFra
     seen = both.withColumn("m", F.min("t").over(Window.partitionBy(F.lit(0)).orderBy(F.desc("f"), F.asc("side")).rowsBetween(Window.unboundedPreceding, 0)))
     del w
     return seen.where("side = 1").select(F.col("v").alias(value), F.col("m").alias("matched"))
+
+
+def moments(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """Count, mean and population variance of each group, as ``merged`` takes them."""
+    v = F.col(value).cast("double")
+    return df.groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.var_pop(v).alias("var"))
+
+
+def merged(a: DataFrame, b: DataFrame, by: Sequence[str], remove: bool = False) -> DataFrame:
+    """Moments of the groups of ``a`` with those of ``b`` added (or taken away), without the values. A group
+    that is left empty has a null mean and variance."""
+    met = a.join(b.select(*by, *[F.col(c).alias(f"_{c}") for c in ("n", "mean", "var")]), list(by), "left" if remove else "full")
+    n, m, v, k, l, w = (F.coalesce(F.col(c), F.lit(0.0)) for c in ("n", "mean", "var", "_n", "_mean", "_var"))
+    s = -1.0 if remove else 1.0
+    total = n + k * s
+    mean = (n * m + k * l * s) / total
+    var = (n * (v + m * m) + k * (w + l * l) * s) / total - mean * mean
+    return met.select(*by, total.cast("long").alias("n"), F.when(total > 0, mean).alias("mean"), F.when(total > 0, F.greatest(var, F.lit(0.0))).alias("var"))

@@ -1,3 +1,3 @@
 """Registered queries, by area; importing the package registers all of them."""
 
-from arborgrid.queries import algebra, collections, descriptors, features, filling, forests, images, learning, regions, statistics, trips, volumes  # noqa: F401
+from arborgrid.queries import algebra, clusters, collections, descriptors, features, filling, forests, images, learning, regions, statistics, trips, volumes  # noqa: F401
