@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 #: Euclidean distance of two vectors in SQL; null where a side is null or the lengths differ.
@@ -16,13 +17,13 @@ VECTOR_L2 = """CREATE OR REPLACE TEMPORARY FUNCTION vector_l2(a ARRAY<DOUBLE>, b
 RETURN CASE WHEN size(a) = size(b) THEN sqrt(aggregate(zip_with(a, b, (x, y) -> (x - y) * (x - y)), 0.0D, (s, d) -> s + d)) END"""
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def vector_mean(v: pd.Series) -> float:
     """Aggregate: mean of a column."""
     return float(v.mean())
 
 
-@F.udtf(returnType="x: int, y: int")
+@F.udtf(returnType=T.StructType([T.StructField("x", T.IntegerType()), T.StructField("y", T.IntegerType())]))
 class GridSampler:
     """Rows of a regular grid: grid_sampler(width, height, step)."""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from arborgrid.functions import arith, color, hooks
+from arborgrid.functions import arith, color
 from arborgrid.operators import learning, matrices, search
 from arborgrid.queries.images import PX, pixels
 from arborgrid.registry import query
@@ -140,6 +140,8 @@ def colour_round_trips(spark, folder):
 @query("sql_distance", "SELECT a.vec_id, round(sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: pow(CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE), 2)))), 6) AS d FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def sql_distance(spark, folder):
     """A function registered for SQL."""
+    from arborgrid.functions import hooks
+
     hooks.register(spark)
     e = read(spark, folder, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("a"))
     b = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b"))
