@@ -3,9 +3,9 @@
 Balanced targets: the smallest number of pieces k = ceil((n - overlap) / (limit - overlap)) is
 tried first. Cuts are aimed at equal lengths of what is left, and each snaps to the strongest
 boundary near its target: paragraph (blank line), line, sentence, word; where none lies in reach,
-to a border between tokens that is no part of a character. When the limit can't be kept, or no
-cut but a bare one is in reach where one more piece would bring a boundary into it, a piece is
-added. A piece starts up to ``overlap`` tokens before the cut that ended the piece before, at the
+to a border between tokens that is no part of a character. Where the limit can't be kept, or no
+cut but a bare one is in reach and one more piece would bring a boundary into it, a piece is
+added; the cuts before it stay. A piece starts up to ``overlap`` tokens before the cut that ended the piece before, at the
 farthest word border in reach.
 
 Cuts lie where a non-space is followed by white space or after ideographic full stops; both are
@@ -79,32 +79,37 @@ def _char_of_token(voc: V.Vocabulary, text: str, ids: list[int]) -> np.ndarray:
 
 
 def _cuts(n: int, k: int, limit: int, overlap: int, at: np.ndarray, strength: np.ndarray, bare: np.ndarray) -> list[tuple[int, int]] | None:
-    """k - 1 cuts (token index, strength); None if k pieces can't do, or only with needless bare cuts."""
+    """Cuts (token index, strength) of about k pieces, more where the limit or a boundary takes more; None
+    if the limit is smaller than a character. A piece is added where it is needed: what lies before stays."""
     room = limit - overlap
     cuts: list[tuple[int, int]] = []
-    last = 0
-    for left in range(k, 1, -1):
+    last, left = 0, k
+    while True:
         most = last + (limit if not cuts else room)
+        if left <= 1 and n <= most:
+            return cuts
+        left = max(left, 2)
         least = max(last + 1, n - (left - 1) * room)
+        if least > most:  # too few pieces are left for the limit
+            left += 1
+            continue
         target = last + (n - last) / left
         reach = room / 4
         lo, hi = max(least, int(target - reach)), min(most, int(target + reach))
         if lo > hi:
             lo, hi = least, most
-        if lo > hi:
-            return None
         i, j = np.searchsorted(at, lo), np.searchsorted(at, hi, side="right")
         if i == j:
-            lo, hi = max(least, last + 1), most
+            lo, hi = least, most
             i, j = np.searchsorted(at, lo), np.searchsorted(at, hi, side="right")
         if i < j:
             score = strength[i:j] * (4.0 * limit) - np.abs(at[i:j] - target)
             b = i + int(np.argmax(score))
             cut = (int(at[b]), int(strength[b]))
         else:
-            wide = np.searchsorted(at, last + 1), np.searchsorted(at, most, side="right")
-            if wide[0] < wide[1]:  # a boundary exists that this k is too tight for
-                return None
+            if np.searchsorted(at, last + 1) < np.searchsorted(at, most, side="right"):  # one more piece brings a boundary into reach
+                left += 1
+                continue
             i, j = np.searchsorted(bare, lo), np.searchsorted(bare, hi, side="right")
             if i == j:
                 i, j = np.searchsorted(bare, last + 1), np.searchsorted(bare, most, side="right")
@@ -113,7 +118,7 @@ def _cuts(n: int, k: int, limit: int, overlap: int, at: np.ndarray, strength: np
             cut = (int(bare[i + int(np.argmin(np.abs(bare[i:j] - target)))]), BARE)
         cuts.append(cut)
         last = cut[0]
-    return cuts if n - last <= (limit if not cuts else room) else None
+        left = min(left - 1, max(1, -(-(n - last) // room)))  # no more pieces than the rest takes
 
 
 def split_text(voc: V.Vocabulary, text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int, int, int]]:
@@ -137,10 +142,7 @@ def split_text(voc: V.Vocabulary, text: str, limit: int = LIMIT, overlap: int =
     while True:
         cuts = _cuts(n, k, tight, overlap, at, strength, usable)
         if cuts is None:
-            k += 1
-            if k > n:
-                raise ValueError("the limit is smaller than a character")
-            continue
+            raise ValueError("the limit is smaller than a character")
         edges = [0, *[c for c, _ in cuts], n]
         kinds = [*[s for _, s in cuts], len(KINDS) - 1]
         out, fits = [], True

@@ -57,8 +57,8 @@ def _cutter(id_col: str, text_col: str):
                 for at in range(0, len(parts), 64):
                     some = parts[at : at + 64]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([row] * len(some), pa.int64()), pa.array([key.as_py()] * len(some), key.type), pa.array(range(at, at + len(some)), pa.int32()), pa.array(some, pa.string())],
-                        ["_row", id_col, "_seq", "_part"],
+                        [pa.array([row] * len(some), pa.int64()), pa.array([key.as_py()] * len(some), key.type), pa.array([len(text)] * len(some), pa.int64()), pa.array(range(at, at + len(some)), pa.int32()), pa.array(some, pa.string())],
+                        ["_row", id_col, "_n", "_seq", "_part"],
                     )
 
     return run
@@ -96,12 +96,13 @@ def encode_corpus(
     is_long = F.coalesce(F.length(text_col), F.lit(0)) > long_chars
     short = rows.where(~is_long).mapInArrow(_encoder(path, id_col, text_col, count_only), result)
 
-    part = T.StructType([T.StructField("_row", T.LongType()), T.StructField(id_col, key), T.StructField("_seq", T.IntegerType()), T.StructField("_part", T.StringType())])
+    part = T.StructType([T.StructField("_row", T.LongType()), T.StructField(id_col, key), T.StructField("_n", T.LongType()), T.StructField("_seq", T.IntegerType()), T.StructField("_part", T.StringType())])
     long = rows.where(is_long).withColumn("_row", F.xxhash64(id_col, text_col)).mapInArrow(_cutter(id_col, text_col), part)
     # grouping spreads the parts over the cluster and encodes those of repeated rows once
-    spread = long.groupBy("_row", id_col, "_seq", "_part").agg(F.count(F.lit(1)).cast("int").alias("_copies"))
+    spread = long.groupBy("_row", id_col, "_n", "_seq", "_part").agg(F.count(F.lit(1)).cast("int").alias("_copies"))
     encoded = spread.mapInArrow(_part_encoder(path), T.StructType([*spread.schema, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
-    joined = encoded.groupBy("_row").applyInArrow(_joiner(path, id_col, count_only), T.StructType([*result, T.StructField("_copies", T.IntegerType())]))
+    # the hash of id and text alone might be that of another text
+    joined = encoded.groupBy("_row", id_col, "_n").applyInArrow(_joiner(path, id_col, count_only), T.StructType([*result, T.StructField("_copies", T.IntegerType())]))
     again = joined.select(*[f.name for f in result], F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_c")).drop("_c")
     return short.unionByName(again)
 

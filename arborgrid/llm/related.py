@@ -25,7 +25,7 @@ import unicodedata
 from collections.abc import Mapping
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborgrid.plans import Scratch, grouped_rank, lookup, skew
@@ -78,19 +78,24 @@ KEYS = {"author": author_key, "source": source_key, "entity": entity_key}
 
 
 def star_edges(df: DataFrame, id_col: str, keys: Mapping[str, Column], scratch: Scratch, part_rows: int = PART_ROWS) -> DataFrame:
-    """(u, v) with u < v that tie the ids of each key together."""
+    """(u, v) with u < v that tie the ids of each key together; an edge may come several times."""
     pairs = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.explode(F.array(*[F.concat(F.lit(f"{n}:"), k) for n, k in keys.items()])).alias("key"))
-    pairs = scratch.put(pairs.where(F.col("key").isNotNull()).distinct())
-    # a row a key that is to be cut, BIG_KEYS rows at most
+    pairs = scratch.put(pairs.where(F.col("key").isNotNull()))
+    # keys that are to be cut, BIG_KEYS at most
     big = pairs.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(2 * part_rows, -(-pairs.count() // BIG_KEYS)))
-    big = F.broadcast(big.select("key", F.ceil(F.col("n") / part_rows).alias("salts")))
-    salt = F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1))).cast("int")
-    pairs = scratch.put(pairs.join(big, "key", "left").select("id", "key", salt.alias("salt")))
-    parts = pairs.groupBy("key", "salt").agg(F.min("id").alias("part_min"))
+    salts = {r["key"]: -(-r["n"] // part_rows) for r in big.collect()}
+    cut = F.col("key").isin(list(salts))
+    head = F.min("id").over(Window.partitionBy("key"))
+    stars = (pairs.where(~cut) if salts else pairs).select(head.alias("u"), F.col("id").alias("v")).where("u < v")
+    if not salts:
+        return stars
+    table = F.broadcast(df.sparkSession.createDataFrame(list(salts.items()), "key string, salts long"))
+    hot = pairs.where(cut).join(table, "key").select("id", "key", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"))
+    parts = scratch.put(hot.groupBy("key", "salt").agg(F.min("id").alias("part_min")))
     heads = parts.groupBy("key").agg(F.min("part_min").alias("head"))
-    inner = pairs.join(parts, ["key", "salt"]).select(F.col("part_min").alias("u"), F.col("id").alias("v"))
+    inner = hot.join(parts, ["key", "salt"]).select(F.col("part_min").alias("u"), F.col("id").alias("v"))
     outer = parts.join(heads, "key").select(F.col("head").alias("u"), F.col("part_min").alias("v"))
-    return inner.unionByName(outer).where("u < v").distinct()
+    return stars.unionByName(inner.unionByName(outer).where("u < v"))
 
 
 def spanning_forest(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:

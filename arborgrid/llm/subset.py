@@ -15,7 +15,7 @@
 Candidates of a request are counted and ranked by cluster and hash bucket (plans.ranking); they
 are never brought together in one task. Buckets that hold at least 1/200 of all candidates (200 a
 hash function at most) meet them by a broadcast. A request's list of cluster sizes is as long as
-its ``clusterlist`` and is allotted in one task.
+its ``clusterlist`` and is allotted in one task, about a thousand requests at a time.
 
 Defined cases: nodes that do not exist, nulls and null or empty clusters are no candidates; a node
 listed more than once counts once, in the cluster it is the root of, else in the first of its
@@ -38,6 +38,8 @@ from arborgrid.plans import Scratch, take_smallest
 
 ROUNDS, PLANES, SEED = 8, 4, 17
 BIG_SHARE = 200
+#: About so many requests are allotted in one task.
+TASK_REQUESTS = 1_000
 
 
 def candidates(selectors: DataFrame, existing: DataFrame) -> DataFrame:
@@ -92,13 +94,17 @@ def buckets(vectors: DataFrame, rounds: int = ROUNDS, planes: int = PLANES, widt
 
 
 def _shares(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Quota of each cluster of one request."""
-    size, want = pdf["size"].to_numpy(np.int64), int(pdf["nsamples"].iloc[0])
-    even = np.full(len(size), max(want // (2 * len(size)), 1))
-    if want < len(size):
-        even = np.zeros(len(size), dtype=np.int64)
-        even[np.argsort(pdf["turn"].to_numpy(), kind="stable")[:want]] = 1
-    return pdf.assign(quota=allocate(pdf["variety"].to_numpy(float), even, size, want))
+    """Quota of each cluster of whole requests."""
+    size, variety, turn = (pdf[c].to_numpy(t) for c, t in (("size", np.int64), ("variety", float), ("turn", np.int64)))
+    wanted, quota = pdf["nsamples"].to_numpy(), np.zeros(len(pdf), dtype=np.int64)
+    for rows in pdf.groupby("selector_id", sort=False).indices.values():
+        want, order = int(wanted[rows[0]]), rows[np.argsort(turn[rows], kind="stable")]
+        even = np.full(len(rows), max(want // (2 * len(rows)), 1))
+        if want < len(rows):
+            even = np.zeros(len(rows), dtype=np.int64)
+            even[:want] = 1
+        quota[order] = allocate(variety[order], even, size[order], want)
+    return pdf[["selector_id", "cluster"]].assign(quota=quota)
 
 
 def coded_candidates(selectors: DataFrame, requests: DataFrame, existing: DataFrame, vectors: DataFrame, scratch: Scratch, rounds: int = ROUNDS, planes: int = PLANES) -> tuple[DataFrame, DataFrame]:
@@ -134,8 +140,10 @@ def _drawn(asked: DataFrame, coded: DataFrame, scratch: Scratch) -> DataFrame:
     weighed = scratch.put(coded.drop("codes").join(densities(coded, scratch), ["selector_id", "node"]))
     sizes = weighed.groupBy("selector_id", "cluster").agg(F.count(F.lit(1)).alias("size"), F.sum(1 / F.col("density")).alias("variety"))
     sizes = sizes.join(asked, "selector_id").withColumn("turn", F.xxhash64(F.lit(SEED), "selector_id", "cluster"))
-    quota = sizes.groupBy("selector_id").applyInPandas(_shares, T.StructType([*sizes.schema, T.StructField("quota", T.LongType())]))
-    offered = weighed.join(quota.select("selector_id", "cluster", "quota"), ["selector_id", "cluster"])
+    tasks = max(8, -(-asked.count() // TASK_REQUESTS))
+    dealt = sizes.withColumn("_task", F.pmod(F.xxhash64("selector_id"), F.lit(tasks))).groupBy("_task")
+    quota = scratch.put(dealt.applyInPandas(_shares, T.StructType([*sizes.select("selector_id", "cluster").schema, T.StructField("quota", T.LongType())])))
+    offered = weighed.join(quota, ["selector_id", "cluster"])
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "selector_id", "node"), 1) + 1) / F.lit(float(2**63))
     key = -F.log(u) * F.col("density")
     # an even spread over buckets: keys are exponential, so 1 - exp(-key / density bound) is flat enough
