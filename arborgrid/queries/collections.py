@@ -99,7 +99,11 @@ def class_counts(spark, folder):
     return sets.label_counts(read(spark, folder, "ift_filenames"), "class")
 
 
-@query("file_table")
+@query(
+    "file_table",
+    r"""WITH f AS (SELECT filename AS path, string_split(replace(regexp_replace(regexp_replace(filename, '^\s+', ''), '\s+$', ''), '\', '/'), '/')[-1] AS n FROM ift_filenames), e AS (SELECT path, n, regexp_extract(n, '(?i)((\.nii|\.tar)\.gz|\.tar\.bz2|\.[^.]*)$', 1) AS ext FROM f), b AS (SELECT path, ext, left(n, len(n) - len(ext)) AS b FROM e)
+    SELECT path, TRY_CAST(nullif(regexp_extract(b, '^([0-9]+)_([0-9]+)', 1), '') AS INT) AS label, TRY_CAST(nullif(regexp_extract(b, '^([0-9]+)_([0-9]+)', 2), '') AS BIGINT) AS sample, regexp_extract(b, '^[0-9]+_[0-9]+_(.*)$', 1) AS suffix, ext FROM b""".replace("\\\\", "\\"),
+)
 def file_table(spark, folder):
     return sets.file_table(read(spark, folder, "ift_filenames"), "filename")
 

@@ -19,7 +19,10 @@ def border_interior(spark, folder):
     return descriptors.border_interior(pixels(spark, folder), "v", 8)
 
 
-@query("oriented_gradients")
+@query("oriented_gradients", f"""WITH {PX}, g AS (SELECT p.image_id, p.x, p.y, coalesce(r.v, p.v) - coalesce(l.v, p.v) AS gx, coalesce(d.v, p.v) - coalesce(u.v, p.v) AS gy FROM px p LEFT JOIN px r ON r.image_id = p.image_id AND r.x = p.x + 1 AND r.y = p.y LEFT JOIN px l ON l.image_id = p.image_id AND l.x = p.x - 1 AND l.y = p.y LEFT JOIN px d ON d.image_id = p.image_id AND d.x = p.x AND d.y = p.y + 1 LEFT JOIN px u ON u.image_id = p.image_id AND u.x = p.x AND u.y = p.y - 1),
+  a AS (SELECT image_id, x // 8 AS cx, y // 8 AS cy, sqrt(CAST(gx * gx + gy * gy AS DOUBLE)) AS m, degrees(atan2(gy, gx)) AS deg FROM g), t AS (SELECT image_id, cx, cy, m, (CASE WHEN deg < 0 THEN deg + 180 WHEN deg >= 180 THEN deg - 180 ELSE deg END) * 9 / 180.0::DOUBLE - 0.5 AS t FROM a),
+  s AS (SELECT image_id, cx, cy, (CAST(floor(t) AS INT) + 9) % 9 AS b, m * (1 - (t - floor(t))) AS w FROM t UNION ALL SELECT image_id, cx, cy, (CAST(floor(t) AS INT) + 10) % 9, m * (t - floor(t)) FROM t), c AS (SELECT image_id, cx, cy, b, sum(w) AS w FROM s GROUP BY ALL), n AS (SELECT image_id, cx, cy, sqrt(sum(w * w) + 1e-12) AS n FROM c GROUP BY ALL), k AS (SELECT n.*, b FROM n, range(9) r(b))
+  SELECT k.image_id, CAST(k.cx AS INT) AS cx, CAST(k.cy AS INT) AS cy, list(round(coalesce(w, 0) / n, 6) ORDER BY k.b) AS hog FROM k LEFT JOIN c ON c.image_id = k.image_id AND c.cx = k.cx AND c.cy = k.cy AND c.b = k.b GROUP BY ALL""")
 def oriented_gradients(spark, folder):
     return descriptors.oriented_gradients(pixels(spark, folder), "v")
 
