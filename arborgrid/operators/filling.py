@@ -98,6 +98,7 @@ def propagate(
         n = F.col("k_n") + F.col("m0")
         t = t.withColumn("_first", F.when(F.col("hub").isNotNull(), F.col("w") * n / (n + HALF)).otherwise(0.0)).withColumn("_all", F.col("_rest") + F.col("_first"))
         # hub's mean L = (observed + sum of members' estimates) / n, with estimate = (w L + rest) / all
+        t = between = scratch.put(t)  # two plans read it
         solved = t.where("hub IS NOT NULL AND _all > 0").groupBy("hub").agg(F.sum(F.col("_first") / F.col("_all")).alias("_a"), *[F.sum(F.col(f"_{c}") / F.col("_all")).alias(f"_b_{c}") for c in v])
         t = lookup(t, solved, "hub", "left", total=total)
         left = n - F.coalesce("_a", F.lit(0.0))
@@ -113,7 +114,7 @@ def propagate(
             out = lookup(out, base.drop("m0"), "hub", "left", total=total).withColumns({f"k_{c}": F.coalesce(f"k_{c}", F.lit(0.0)) for c in [*v, "n"]})
         nxt = scratch.put(out)
         far = nxt.agg(F.max("move")).first()[0]
-        scratch.drop(state)
+        scratch.drop(state, between)
         state = nxt
         if far is None or far <= tolerance:
             return state.where(F.col("v0").isNotNull()).select("cell", *v)
