@@ -71,7 +71,8 @@ def _means(df: DataFrame, vec_col: str, centres: Sequence[Sequence[float]]) -> d
                 n += np.bincount(lab, minlength=len(c))
                 np.add.at(s, lab, x)
         some = np.flatnonzero(n)
-        yield pd.DataFrame({"cluster": some.astype("int32") + 1, "n": n[some], "s": list(s[some])})
+        if len(some):  # a partition without samples has no list that Arrow could convert
+            yield pd.DataFrame({"cluster": some.astype("int32") + 1, "n": n[some], "s": list(s[some])})
 
     rows = df.where(F.col(vec_col).isNotNull()).select(F.col(vec_col).cast("array<double>").alias("v"))
     parts = rows.mapInPandas(sums, "cluster int, n double, s array<double>").select("cluster", "n", F.posexplode("s").alias("p", "v"))

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from arborgrid import registry
 from arborgrid.operators import forests, graphs, grid, learning, neighbours
 from arborgrid.plans import Scratch
 
@@ -165,6 +166,41 @@ def test_kmeans_and_path_forest_find_blobs(spark):
     assert learning.cluster_by_density(df, "id", "vec", 8, scratch).join(df.select("id", "label"), "id").groupBy("cluster").agg(F.countDistinct("label").alias("n")).where("n > 1").count() == 0
 
 
+def test_kmeans_with_partitions_without_samples(spark):
+    x = [[float(i % 3 * 9), float(i % 2)] for i in range(6)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x)] + [(i, None) for i in range(6, 12)], "id long, vec array<double>")
+    for some in (df.repartition(20, "id"), df.coalesce(1).unionByName(df.limit(0)), df.where("id < 6").coalesce(1).unionByName(df.where("id >= 6"))):
+        a, centres = learning.kmeans(some, "id", "vec", 3, initial=[[0.0, 0.0], [9.0, 0.0], [18.0, 0.0]])
+        assert centres == [[0.0, 0.5], [9.0, 0.5], [18.0, 0.5]]
+        assert sorted((r["id"], r["cluster"]) for r in a.collect()) == [(i, i % 3 + 1) for i in range(6)]
+
+
+@pytest.mark.parametrize("rows", [60, 5])
+def test_cluster_hierarchy_of_a_file_with_splits_without_rows(spark, tmp_path, rows):
+    """One row group in several splits: all but one of them hold no rows."""
+    x = np.random.default_rng(7).normal(0, 5, (rows, 400))
+    df = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    df.coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        assert spark.read.parquet(f"{tmp_path}/embeddings.parquet").rdd.getNumPartitions() > 1
+        got = registry.QUERIES["cluster_hierarchy"](spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    v = x.astype("float32").astype(float)
+
+    def lloyd(v, k):
+        c = v[:k].copy()
+        for _ in range(10):
+            near = ((v[:, None] - c[None]) ** 2).sum(2).argmin(1)
+            c = np.stack([v[near == i].mean(0) if (near == i).any() else c[i] for i in range(len(c))])
+        return ((v[:, None] - c[None]) ** 2).sum(2).argmin(1) + 1, c
+
+    low, c = lloyd(v, 10)
+    top, _ = lloyd(c, 3)
+    assert sorted((r["vec_id"], r["low"], r["top"]) for r in got) == [(i, low[i], top[low[i] - 1]) for i in range(rows)]
+
+
 def test_mixture_cut_and_basins(spark):
     a = np.zeros((6, 8), dtype=int)
     a[:, 4:] = 200
